@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -219,7 +220,9 @@ def with_body(df: DataFrame, body: str = "body") -> DataFrame:
 def parse_events(df: DataFrame, value: str = "value", default_zone: str | None = None) -> DataFrame:
     """Add the parsed columns to raw records: projections only, no Python, no shuffle.
 
-    Error precedence: envelope, body, user, time. Bodies outside the grammar are `unrecognized`.
+    Error precedence: envelope, body, user, time. Bodies outside the grammar are `unrecognized`. The
+    line count observed at the end also keeps later filters from being pushed into, and so repeating,
+    the parsing expressions.
     """
     column = F.col
     opened = df.withColumn("_env", split_envelope(column(value)))
@@ -237,4 +240,5 @@ def parse_events(df: DataFrame, value: str = "value", default_zone: str | None =
         "user_id_raw": F.when(column("_broken").isNull() & column("user_id").isNull(), column("_user_raw")),
     }).withColumn("parse_status", F.when(column("error_type").isNotNull(), "failed")
                   .when(column("event_type").isNotNull(), "parsed").otherwise("unrecognized"))
-        .drop("_env", "_broken", "_time_raw", "_user_raw", "body", "time_error", "body_error"))
+        .drop("_env", "_broken", "_time_raw", "_user_raw", "body", "time_error", "body_error")
+        .observe(f"parse-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("lines")))
