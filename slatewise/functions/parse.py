@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import formats as fmt
 
-RANKED_SLATE = "array<struct<movie_id:string,rank:int>>"
+PARSED_COLUMNS = ("parse_status", "error_type", "event_type", "event_ts", "event_time_raw", "timestamp_status",
+                  "user_id", "user_id_raw", "movie_id", "fields")
 
 # Whole ISO-8601 date with optional time, fraction and offset; separators may be left out.
 _ISO = (r"^[0-9]{4}(?<!0000)-?[0-9]{2}-?[0-9]{2}(?:\D(?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?"
@@ -221,8 +221,8 @@ def parse_events(df: DataFrame, value: str = "value", default_zone: str | None =
     """Add the parsed columns to raw records: projections only, no Python, no shuffle.
 
     Error precedence: envelope, body, user, time. Bodies outside the grammar are `unrecognized`. The
-    line count observed at the end also keeps later filters from being pushed into, and so repeating,
-    the parsing expressions.
+    closing one-row `inline` marks the columns as computed, so that later filters and joins use them
+    instead of repeating the parsing expressions.
     """
     column = F.col
     opened = df.withColumn("_env", split_envelope(column(value)))
@@ -233,12 +233,11 @@ def parse_events(df: DataFrame, value: str = "value", default_zone: str | None =
     timed = with_event_time(with_body(flat), "_time_raw", default_zone)
     error = F.coalesce(column("_broken"), column("body_error"),
                        F.when(column("user_id").isNull(), "InvalidUserID"), column("time_error"))
-    return (timed.withColumns({
+    named = timed.withColumns({
         "error_type": error,
         "event_time_raw": F.nullif(column("_time_raw"), F.lit("")),
         "timestamp_status": F.when(column("_broken").isNull(), column("timestamp_status")).otherwise("missing"),
         "user_id_raw": F.when(column("_broken").isNull() & column("user_id").isNull(), column("_user_raw")),
     }).withColumn("parse_status", F.when(column("error_type").isNotNull(), "failed")
                   .when(column("event_type").isNotNull(), "parsed").otherwise("unrecognized"))
-        .drop("_env", "_broken", "_time_raw", "_user_raw", "body", "time_error", "body_error")
-        .observe(f"parse-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("lines")))
+    return named.select(*df.columns, F.inline(F.array(F.struct(*PARSED_COLUMNS))))

@@ -109,7 +109,7 @@ def drift_findings(reference: DataFrame, current: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     few = sizes.where(fewest < fmt.MIN_SAMPLES).select(
         "source", none.alias("feature"), F.lit("insufficient_samples").alias("reason"), fewest.cast("double").alias("value"))
-    share = F.col("invalid") / F.col("samples")
+    share = F.try_divide(F.col("invalid").cast("double"), F.col("samples"))
     broken = sizes.where((fewest >= fmt.MIN_SAMPLES) & (share > fmt.MAX_INVALID_FRACTION)).select(
         "source", none.alias("feature"), F.lit("schema_failure_rate").alias("reason"), share.alias("value"))
     strong = drift_distances(reference, current).where(F.col("distance") > fmt.DRIFT_THRESHOLD).select(

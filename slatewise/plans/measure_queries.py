@@ -132,12 +132,12 @@ COST_COLUMNS = """count(*) as observed_units, count(*) filter (unit_status = 'co
   count(*) filter (unit_status = 'invalid_fee') as invalid_fee_units, round(cast(coalesce(sum(fee), 0) as double), 4) as known_cost,
   round(count(*) filter (unit_status = 'covered') / cast(count(*) as double), 6) as fee_coverage,
   round(cast(case when count(*) filter (unit_status = 'covered') = count(*) then coalesce(sum(fee), 0) end as double), 4) as total_cost,
-  round(cast(sum(fee) as double) / nullif(count(*) filter (unit_status = 'covered'), 0), 4) as mean_known_fee"""
+  round(cast(sum(fee) as double) / nullif(count(*) filter (unit_status = 'covered'), 0), 6) as mean_known_fee"""
 
 
 def _plain_cost(df):
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("known_cost", "total_cost", "mean_known_fee")}).withColumn(
-        "fee_coverage", F.round("fee_coverage", 6))
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("known_cost", "total_cost")}).withColumns(
+        {c: F.round(c, 6) for c in ("fee_coverage", "mean_known_fee")})
 
 
 @query(f"with {i.FEES} select movie_id, round(cast(fee as double), 4) as fee, fee_status from fees")
