@@ -20,9 +20,14 @@ _HAS_ZONE = r"T[^TZ+-]*[Z+-]"
 _FOLDS = ("30 minutes", "1 hour", "2 hours")
 
 
+# Fixed value: every Unicode white-space character.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+               "\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def split_envelope(value: Column) -> Column:

@@ -48,7 +48,7 @@ def cooccurrence(members: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     keyed = placed.select("owner", "idx", F.least("_b", "_o").cast("int").alias("ti"),
                           F.greatest("_b", "_o").cast("int").alias("tj"),
                           F.pmod(F.xxhash64("owner"), F.lit(salts)).cast("int").alias("salt"))
-    spread = keyed.repartition(min(pairs * salts, max(tasks(spark), pairs)), "ti", "tj", "salt").sortWithinPartitions(
+    spread = keyed.repartition(max(tasks(spark), pairs), "ti", "tj", "salt").sortWithinPartitions(
         "ti", "tj", "owner").select("ti", "tj", "owner", "idx")
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,6 +96,8 @@ def cooccurrence(members: DataFrame, n: int, tile: int = TILE) -> DataFrame:
             yield emit()
 
     partial = spread.mapInPandas(add_up, "i int, j int, n long")
+    if salts == 1:  # every tile was summed by one task
+        return partial
     return partial.groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions.parse import parse_events
 from slatewise.operators.interactions import interactions
+from slatewise.session import written
 from slatewise.sources.records import typed_fees
 
 SOURCE, TOPIC = "sample-log", "activity"
@@ -61,13 +62,23 @@ def envelopes(events: DataFrame) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, directory: str) -> DataFrame:
-    return envelopes(table(spark, directory, "events"))
+    events = table(spark, directory, "events")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:  # a sample file is one split; parsing should use every core
+        events = events.repartition(cores)
+    return envelopes(events)
 
 
-def parsed(spark: SparkSession, directory: str) -> DataFrame:
+def parsed_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """The parsed log, computed where it is used."""
     return parse_events(log_lines(spark, directory), "value", "UTC")
 
 
+def parsed(spark: SparkSession, directory: str) -> DataFrame:
+    """The parsed log as an event table, for queries that read it several times."""
+    return written(parsed_lines(spark, directory), "events")
+
+
 # The parsed log in SQL: one row per line.
 LOG = """
 e as (select event_id, ts, user_id as uid, event_type as source_type, cast(regexp_extract(props, '[0-9]+') as int) as k,

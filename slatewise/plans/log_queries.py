@@ -22,7 +22,7 @@ select "offset", "partition", parse_status, error_type, event_type, epoch_us(eve
   case when error_type is null or error_type = 'InvalidUserID' then items end as items from log""")
 def parsed_events(spark, directory):
     """Envelope, grammar, time and error precedence of every line."""
-    return i.parsed(spark, directory).select(
+    return i.parsed_lines(spark, directory).select(
         "offset", F.col("partition").cast("bigint").alias("partition"), "parse_status", "error_type", "event_type",
         F.unix_micros("event_ts").alias("event_us"), "user_id", "movie_id", "fields.minute", "fields.rating", "fields.server",
         F.col("fields.status").cast("bigint").alias("status"), F.round("fields.response_time_ms", 6).alias("response_ms"),
@@ -33,7 +33,7 @@ def parsed_events(spark, directory):
 select parse_status, coalesce(error_type, 'none') as error_type, count(*) as n from log group by all""")
 def parse_errors(spark, directory):
     """How many lines end in which state."""
-    return i.parsed(spark, directory).groupBy("parse_status", F.coalesce("error_type", F.lit("none")).alias("error_type")).agg(
+    return i.parsed_lines(spark, directory).groupBy("parse_status", F.coalesce("error_type", F.lit("none")).alias("error_type")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -57,7 +57,7 @@ slots as (select "offset", k, items, cast(r.i as bigint) as rank, cast((k + r.i
 select "offset", rank, movie_id from slots""")
 def slate_ranks(spark, directory):
     """Ranked slates from plain, bracketed and quoted lists, one row per slot."""
-    return i.parsed(spark, directory).select("offset", F.explode("fields.recommendations").alias("r")).select(
+    return i.parsed_lines(spark, directory).select("offset", F.explode("fields.recommendations").alias("r")).select(
         "offset", F.col("r.rank").cast("bigint").alias("rank"), "r.movie_id")
 
 
@@ -98,7 +98,7 @@ select "offset", name, cast(position as bigint) as position,
 from log, names where source_type = 'signup' and fifth = 0""")
 def line_query_maps(spark, directory):
     """Repeated, encoded and blank parameters of unrecognised signup lines."""
-    q = i.parsed(spark, directory).select("offset", F.explode("fields.query").alias("name", "values"))
+    q = i.parsed_lines(spark, directory).select("offset", F.explode("fields.query").alias("name", "values"))
     return q.select("offset", "name", F.posexplode("values").alias("position", "value")).withColumn(
         "position", (F.col("position") + 1).cast("bigint"))
 
@@ -179,7 +179,7 @@ def slate_checks(spark, directory):
     """Complete rankings, full slates and valid response bodies."""
     rec = F.col("fields.recommendations")
     ids = F.array_join(F.transform(rec, lambda r: r["movie_id"]), ",")
-    return i.parsed(spark, directory).where("event_type = 'recommendation'").select(
+    return i.parsed_lines(spark, directory).where("event_type = 'recommendation'").select(
         "offset", F.coalesce(s.slate_is_sound(rec), F.lit(False)).alias("has_slate"),
         s.valid_slate(rec).isNotNull().alias("full_slate"), F.coalesce(s.valid_response_body(ids), F.lit(False)).alias("body_valid"))
 
@@ -190,7 +190,7 @@ select "offset", strftime(greatest(ingested_at, event_ts, ts), '%Y-%m-%d') as da
   ingested_at <= timestamp '2024-01-15' as known from log where event_ts is not null""")
 def retention_days(spark, directory):
     """Retention day, half-open window and as-of availability of each line."""
-    rows = i.parsed(spark, directory).where("event_ts is not null")
+    rows = i.parsed_lines(spark, directory).where("event_ts is not null")
     return rows.select(
         "offset", s.retention_day(F.col("ingested_at"), F.col("event_ts"), F.col("broker_timestamp_ms")).alias("day"),
         s.in_window(F.col("event_ts"), "2024-01-10", "2024-01-20").alias("inside"), s.available(F.col("ingested_at"), "2024-01-15").alias("known"))
@@ -210,7 +210,7 @@ r as (select *, row_number() over (partition by "partition" order by "offset" de
 select "partition", parse_status, count(*) as n, cast(sum("offset") as bigint) as offsets from r where place <= 1500 group by "partition", parse_status""")
 def tail_states(spark, directory):
     """Parse states inside the bounded tail."""
-    return bounded_tail(i.parsed(spark, directory), "partition", "offset", 1500, 1000).groupBy(
+    return bounded_tail(i.parsed_lines(spark, directory), "partition", "offset", 1500, 1000).groupBy(
         F.col("partition").cast("bigint").alias("partition"), "parse_status").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets"))
 
 
@@ -220,7 +220,7 @@ union all select 'duplicates', count(*) - count(distinct "offset") from t
 union all select parse_status, count(*) from t group by parse_status) x""")
 def ingest_counts(spark, directory):
     """Received, stored, duplicate and parse-state counts with every third line replayed."""
-    rows = i.parsed(spark, directory)
+    rows = i.parsed_lines(spark, directory)
     return ingest_stats(rows.unionByName(rows.where("offset % 3 = 0")))
 
 
@@ -235,4 +235,4 @@ def hourly_buckets(spark, directory):
 select coalesce(error_type, 'kept') as drop_reason, count(*) as n from log group by 1""")
 def error_tally(spark, directory):
     """One-pass tally of failure classes."""
-    return tally(i.parsed(spark, directory), "error_type").withColumnRenamed("error_type", "drop_reason")
+    return tally(i.parsed_lines(spark, directory), "error_type").withColumnRenamed("error_type", "drop_reason")

@@ -11,6 +11,7 @@ from slatewise.operators import sessions as se
 from slatewise.operators.intervals import followed
 from slatewise.plans import inputs as i
 from slatewise.plans.registry import query
+from slatewise.session import settle
 from slatewise.sources.records import load_fees, typed_fees
 
 HOURS_48 = 172_800
@@ -107,7 +108,7 @@ select "partition", count(*) as rows, epoch_us(min(event_ts)) as oldest_us, epoc
   coalesce(min(event_ts) <= timestamp '2024-01-02' and max(event_ts) >= timestamp '2024-01-30', false) as bracketed from log group by 1""")
 def partition_coverage(spark, directory):
     """Bounds per partition and whether they enclose the window."""
-    c = online.partition_coverage(i.parsed(spark, directory), "2024-01-02", "2024-01-30")
+    c = online.partition_coverage(i.parsed_lines(spark, directory), "2024-01-02", "2024-01-30")
     return c.select(F.col("partition").cast("bigint").alias("partition"), "rows", F.unix_micros("oldest_event").alias("oldest_us"),
                     F.unix_micros("newest_event").alias("newest_us"), "lowest_offset", "highest_offset", "bracketed")
 
@@ -250,8 +251,7 @@ mine as (select *, host is not null as attributed, coalesce(cast(status as varch
 """
 
 
-def _calls(spark, directory):
-    events = i.parsed(spark, directory)
+def _calls(events):
     hidden = events.withColumn("fields", F.when(F.col("offset") % 19 == 0, F.col("fields").withField("server", F.lit(None).cast("string"))).otherwise(F.col("fields")))
     return av.server_requests(hidden, "node-1:8082", "2024-01-05", "2024-01-26")
 
@@ -259,7 +259,7 @@ def _calls(spark, directory):
 @query(f"with {AVAILABLE} select status_text, count(*) as requests from mine where attributed group by 1")
 def status_histogram(spark, directory):
     """Response statuses of one server."""
-    return av.status_histogram(_calls(spark, directory))
+    return av.status_histogram(_calls(i.parsed(spark, directory)))
 
 
 @query(f"""with {AVAILABLE}, s as (select count(*) filter (attributed) as requests, count(*) filter (attributed and status_text = '200') as successful,
@@ -268,8 +268,9 @@ select *, true as window_bracketed, round(successful / cast(requests as double),
   round(successful / cast(requests + unattributed as double), 6) as conservative_ratio from s""")
 def availability(spark, directory):
     """Success ratio, observed and conservative."""
-    covered = online.all_bracketed(online.partition_coverage(i.parsed(spark, directory), "2024-01-05", "2024-01-26"))
-    row = av.availability(_calls(spark, directory), covered)
+    events = i.parsed(spark, directory)
+    covered = online.all_bracketed(online.partition_coverage(events, "2024-01-05", "2024-01-26"))
+    row = av.availability(_calls(events), covered)
     return row.withColumns({c: F.round(c, 6) for c in row.columns if c.endswith("ratio")})
 
 
@@ -280,14 +281,15 @@ def availability(spark, directory):
 from mine group by rollup (case when event_ts < timestamp '2024-01-15' then 'before' else 'after' end)""")
 def before_after(spark, directory):
     """Availability before, after and over a change."""
-    return av.before_after(_calls(spark, directory), "2024-01-15").withColumn("availability", F.round("availability", 6))
+    return av.before_after(_calls(i.parsed(spark, directory)), "2024-01-15").withColumn("availability", F.round("availability", 6))
 
 
 @query(f"""with {AVAILABLE} select (select count(*) from mine where not attributed) = 0 as usable""")
 def evidence_usable(spark, directory):
     """Whether the evidence around the change can be used."""
-    covered = online.all_bracketed(online.partition_coverage(i.parsed(spark, directory), "2024-01-05", "2024-01-26"))
-    return av.evidence_usable(av.before_after(_calls(spark, directory), "2024-01-15"), covered)
+    events = i.parsed(spark, directory)
+    covered = online.all_bracketed(online.partition_coverage(events, "2024-01-05", "2024-01-26"))
+    return av.evidence_usable(av.before_after(_calls(events), "2024-01-15"), covered)
 
 
 @query("""with r as (select count(*) filter (event_type = 'click') as requests, sum(value) as value_sum, avg(value) filter (event_type = 'view') as view_mean from events)
@@ -435,8 +437,8 @@ matched as (select c.*, w.request_id, a.serving_method, a.version, a.n as latenc
 """
 
 
-def _matched(spark, directory):
-    events = i.parsed(spark, directory).where("event_type = 'recommendation' and parse_status = 'parsed' and fields.status = 200")
+def _matched(spark, directory, events=None):
+    events = (i.parsed(spark, directory) if events is None else events).where("event_type = 'recommendation' and parse_status = 'parsed' and fields.status = 200")
     course = events.where("fields.recommendations is not null").select(
         F.col("offset").alias("course_id"), "user_id", F.transform("fields.recommendations", lambda r: r["movie_id"]).alias("ids"),
         F.col("event_ts").alias("at"))
@@ -458,7 +460,8 @@ select count(serving_method) as matched, count(*) filter (personal) as personali
   round(100e0 * count(*) filter (personal) / (select count(*) from log where event_type = 'recommendation'), 3) as personalised_percent from p""")
 def personalised_share(spark, directory):
     """Share of requests with a confirmed personal response."""
-    return at.personalised_share(_matched(spark, directory), i.parsed(spark, directory).where("event_type = 'recommendation'"))
+    events = i.parsed(spark, directory)
+    return at.personalised_share(_matched(spark, directory, events), events.where("event_type = 'recommendation'"))
 
 
 @query(f"with {MATCH} select serving_method, version, count(*) as requests from matched where request_id is not null group by 1, 2")
@@ -505,7 +508,7 @@ def watch_sessions(spark, directory):
   where event_type = 'watch' and parse_status = 'parsed' and user_id is not null) select user_id, movie_id, "offset", minute from r where place = 1""")
 def latest_watches(spark, directory):
     """Newest watch of each user and movie."""
-    return se.latest_watches(i.parsed(spark, directory)).select("user_id", "movie_id", "offset", F.col("fields.minute").alias("minute"))
+    return se.latest_watches(i.parsed_lines(spark, directory)).select("user_id", "movie_id", "offset", F.col("fields.minute").alias("minute"))
 
 
 @query(f"""with {i.LOG}, w as (select * from log where event_type = 'watch' and parse_status = 'parsed' and user_id is not null),
@@ -542,8 +545,8 @@ def _pins(spark, directory):
     return pin("a", "25 hours", "73 hours").unionByName(pin("b", "225 hours", "245 hours"))
 
 
-def _plan(spark, directory):
-    ledger = retention.daily_ledger(i.parsed(spark, directory), ("key",))
+def _plan(spark, directory, events=None):
+    ledger = settle(retention.daily_ledger(i.parsed_lines(spark, directory) if events is None else events, ("key",)))
     pinned = retention.protected_days(_pins(spark, directory))
     budget = ledger.agg(F.sum("bytes")).first()[0] * 0.5
     return ledger, pinned, retention.expire_plan(ledger, pinned, budget, "2024-01-20")
@@ -552,7 +555,7 @@ def _plan(spark, directory):
 @query(f"""with {LEDGER} select * from led""")
 def daily_ledger(spark, directory):
     """Rows, key bytes and offset bounds per day and partition."""
-    return retention.daily_ledger(i.parsed(spark, directory), ("key",)).select(
+    return retention.daily_ledger(i.parsed_lines(spark, directory), ("key",)).select(
         "day", F.col("partition").cast("bigint").alias("partition"), "row_count", "bytes", "min_offset", "max_offset")
 
 
@@ -583,8 +586,8 @@ select "offset" from log where strftime(ingested_at, '%Y-%m-%d') in (select day
   and strftime(ingested_at, '%Y-%m-%d') not in (select day from pins)""")
 def expired_events(spark, directory):
     """Lines the plan drops: unpinned and already processed."""
-    _, pinned, plan = _plan(spark, directory)
     events = i.parsed(spark, directory)
+    _, pinned, plan = _plan(spark, directory, events)
     done = events.groupBy("source_id", "topic", "partition").agg(F.lit(0).alias("z")).select(
         "source_id", "topic", "partition", F.when(F.col("partition") == 0, 3000).otherwise(4001).cast("bigint").alias("last_offset"))
     return retention.expired_events(events, plan, pinned, done).select("offset")

@@ -40,8 +40,8 @@ def cooccurrence(spark, directory):
     """Common likes of all movie pairs, summed up per movie."""
     liked, index, size = _members(spark, directory)
     upper = blocks.cooccurrence(liked.join(index, "movie_id").select(F.col("user_id").alias("owner"), "idx"), size)
-    both = upper.unionByName(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    return both.groupBy(F.col("i").cast("string").alias("movie_id")).agg(
+    sides = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    return upper.select("n", F.explode(sides).alias("i")).groupBy(F.col("i").cast("string").alias("movie_id")).agg(
         F.count(F.lit(1)).alias("partners"), F.sum("n").alias("common_likes"), F.max("n").alias("most"))
 
 
@@ -55,6 +55,7 @@ def weighted_scores(spark, directory):
     pairs = settle(i.pairs(spark, directory))
     liked, index, size = _members(spark, directory)
     upper = blocks.cooccurrence(liked.join(index, "movie_id").select(F.col("user_id").alias("owner"), "idx"), size).where("i < j")
+    upper = settle(upper)
     names = lambda a, b: upper.select(F.col(a).cast("string").alias("src_movie"), F.col(b).cast("string").alias("dst_movie"), F.col("n").alias("weight"))
     scores = ease.score_users(liked, names("i", "j").unionByName(names("j", "i")))
     open_scores = op.exclude_seen(scores, pairs).join(op.popularity(pairs), "movie_id")
