@@ -11,6 +11,7 @@ from slatewise.functions import formats as fmt
 from slatewise.functions.scalars import available, in_window, positive
 from slatewise.operators.quality import reason_column
 from slatewise.operators.ranks import ranked
+from slatewise.session import settle
 
 PAIR = ("user_id", "movie_id")
 
@@ -126,10 +127,13 @@ def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def ladder(movies: DataFrame, *lead: Column, bucket: Column | None = None) -> DataFrame:
-    """movies with a global `position`, ordered by the lead columns, popularity (high first) and id."""
+    """movies with a global `position`, ordered by the lead columns, popularity (high first) and id.
+
+    One row per movie, stored, because walking it reads it several times.
+    """
     order = [*lead, F.col("popularity").desc(), F.col("movie_id")]
     cut = F.struct(-F.col("popularity"), F.substring("movie_id", 1, 2)) if bucket is None else bucket
-    return ranked(movies, [], order, cut, rank="position")
+    return settle(ranked(settle(movies), [], order, cut, rank="position"))
 
 
 def first_unseen(users: DataFrame, seen: DataFrame, steps: DataFrame, k: int) -> DataFrame:
