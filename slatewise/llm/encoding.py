@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 _PLAIN = "!-~À-ɏ"
 _CUT = re.compile(f"(?<=[{_PLAIN}])(?: |(\n))(?=[{_PLAIN}])")
 _UNIT = re.compile(f"\n\n|\n?[{_PLAIN}](?:.*[{_PLAIN}])?", re.S)
+_SIMPLE = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
+_PROBES = ("the", "Word", "élève", "ÜBER", "straße", "Internationalisation", "ñandú")
 MOST_UNITS = 800_000
 LONGEST_UNIT = 64
 
@@ -30,6 +33,23 @@ class Encoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.units: dict[str, bytes] = {}
+        self.passed = 0
+        self.tails: dict[str, bytes] = {"": b""}
+        self.model = self.library.model
+        self.form = self._form()
+
+    def _form(self):
+        """How a plain word reaches the model: as bytes with a sign for the space, or in lower case; None if neither fits."""
+        forms = (lambda word, spaced: ("Ġ" if spaced else "") + _letters(word), lambda word, spaced: _letters(word.lower()))
+        for form in forms:
+            pairs = [(" " * spaced + w + end, form(w, spaced), end) for w in _PROBES for spaced in (0, 1) for end in ("", ".", "?!)")]
+            whole = self._ids([text for text, _, _ in pairs])
+            if whole == [self._word(name) + (self._ids([end])[0] if end else b"") for _, name, end in pairs]:
+                return form
+        return None
+
+    def _word(self, name: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(name)], "<u4").tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -38,8 +58,30 @@ class Encoder:
     def _learn(self, names: list[str]) -> dict[str, bytes]:
         """Ids of units: '\\n\\n' is a line break, '\\nword' begins a line, any other follows a space.
 
-        They go to the library in long strings, held apart by a special string that none of them contains.
+        Plain words go straight to the library's model; the rest goes through the whole library in long strings, held
+        apart by a special string that none of them contains.
         """
+        made, rest = {}, []
+        tokenize, tails, form = self.model.tokenize, self.tails, self.form
+        for u in names:
+            plain = _SIMPLE.fullmatch(u) if form else None
+            if plain is None:
+                rest.append(u)
+                continue
+            lead, word, tail = plain.groups()
+            if tail not in tails:
+                tails[tail] = self._ids([tail])[0]
+            made[u] = array("I", [t.id for t in tokenize(form(word, not lead))]).tobytes() + tails[tail]
+        made.update(zip(rest, self._through(rest), strict=True))
+        self.passed += len(made)
+        if self.passed > 5 * MOST_UNITS:
+            self.units.clear()
+            self.passed = 0
+        if len(self.units) < MOST_UNITS:
+            self.units.update((u, b) for u, b in made.items() if len(u) <= LONGEST_UNIT and _UNIT.fullmatch(u))
+        return made
+
+    def _through(self, names: list[str]) -> list[bytes]:
         texts = [u[1:] if u[0] == "\n" else " " + u for u in names]
         if not self.special:
             ids = self._ids(texts)
@@ -53,11 +95,7 @@ class Encoder:
                 for end in ends.tolist():
                     ids.append(raw[start:end])
                     start = end + 4
-        made = dict(zip(names, ids, strict=True))
-        if len(self.units) > MOST_UNITS:
-            self.units.clear()
-        self.units.update((u, b) for u, b in made.items() if len(u) <= LONGEST_UNIT and _UNIT.fullmatch(u))
-        return made
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, whole, open_rows, new = [b""] * len(texts), [], [], {}
@@ -91,6 +129,20 @@ class Encoder:
         return out
 
 
+def _byte_signs() -> list[str]:
+    """A visible sign for each byte: itself where it is one, else the next free code point from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+_SIGNS = _byte_signs()
+
+
+def _letters(word: str) -> str:
+    return word if word.isascii() else "".join([_SIGNS[b] for b in word.encode()])
+
+
 def _careful(text: str) -> list[str]:
     """Units of a text with white space of other kinds: cut only where one sign stands between plain neighbours."""
     units, start, lead = [], 0, "\n"
