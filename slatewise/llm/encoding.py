@@ -18,7 +18,7 @@ _CUT = re.compile(f"(?<=[{_PLAIN}])(?: |(\n))(?=[{_PLAIN}])")
 _UNIT = re.compile(f"\n\n|\n?[{_PLAIN}](?:.*[{_PLAIN}])?", re.S)
 _SIMPLE = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
 _PROBES = ("the", "Word", "élève", "ÜBER", "straße", "Internationalisation", "ñandú")
-MOST_UNITS = 800_000
+MOST_UNITS = 500_000
 LONGEST_UNIT = 64
 
 
