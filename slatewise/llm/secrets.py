@@ -153,14 +153,12 @@ def spelled(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """All rows and columns with every found span replaced by `mark`; null texts stay null.
 
-    The found spans are carried beside the columns under a name none of them has.
+    Columns get plain numbers as names on the way, so none can clash with what the scan adds.
     """
-    names = set(docs.columns)
-    spot = next(f"_spans{i}" for i in range(len(names) + 1) if f"_spans{i}" not in names)
-    renamed = docs.columns
-    found = scan(docs, text, tuple(renamed)).withColumnRenamed("secrets", spot) if "secrets" not in names else None
-    if found is None:
-        raise ValueError("Rename the column 'secrets' first")
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, spot = f"c{names.index(text)}", "secrets"
+    found = scan(inner, text, tuple(inner.columns))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def join(done, s):
@@ -173,4 +171,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
     merged = F.aggregate(spot, empty, join)
     cut = F.aggregate(F.reverse(merged), F.col(text), lambda t, s: F.concat(
         F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["end"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size(spot) > 0, cut).otherwise(F.col(text))).select(*renamed)
+    return found.withColumn(text, F.when(F.size(spot) > 0, cut).otherwise(F.col(text))).select(*inner.columns).toDF(*names)
