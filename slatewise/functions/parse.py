@@ -135,7 +135,7 @@ def ranked(ids: Column) -> Column:
     return F.transform(ids, lambda item, n: F.struct(item.alias("movie_id"), (n + 1).cast("int").alias("rank")))
 
 
-_QUOTED = r"""'[^'\\]*'|"[^"\\]*\""""
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
 _QUOTED_LIST = rf"^\[\s*(?:(?:{_QUOTED})\s*(?:,\s*(?:{_QUOTED})\s*)*,?\s*)?\]\z"
 _OTHER_LITERALS = r"^\[\s*(?:[+-]?[0-9.]+|None|True|False)\s*(?:,\s*(?:[+-]?[0-9.]+|None|True|False)\s*)*,?\s*\]\z"
 
@@ -144,13 +144,14 @@ def parse_slate(text: Column) -> Column:
     """`a,b`, `[a,b]` or a quoted list to struct(items, error); one bad id spoils the slate."""
     quoted = text.rlike(_QUOTED_LIST)
     literal = F.transform(F.regexp_extract_all(text, F.lit(f"({_QUOTED})"), 1),
-                          lambda item: F.substring(item, F.lit(2), F.length(item) - 2))
+                          lambda item: F.regexp_replace(F.substring(item, F.lit(2), F.length(item) - 2), r"\\(.)", "$1"))
     bare = F.when(text.startswith("[") & text.endswith("]") & (F.length(text) >= 2),
                   strip(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
     listed = F.when(bare == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.split(bare, ","), strip))
     ids = F.when(quoted, literal).otherwise(listed)
-    bad = text.rlike(_OTHER_LITERALS) | ~F.forall(ids, lambda item: item.rlike(fmt.MOVIE_ID))
+    literal_like = text.rlike(r"""^\[\s*[A-Za-z]{0,2}['"]""") & ~quoted
+    bad = text.rlike(_OTHER_LITERALS) | literal_like | ~F.forall(ids, lambda item: item.rlike(fmt.MOVIE_ID))
     return F.struct(F.when(~bad, ranked(ids)).alias("items"),
                     F.when(bad, "InvalidRecommendationResult").alias("error"))
 

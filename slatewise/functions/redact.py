@@ -12,52 +12,65 @@ from pyspark.sql import types as T
 
 from slatewise.functions import formats as fmt
 
-# Names are matched with separators allowed inside the secret word, as in `api_key` or `session-id`.
-_WORDS = "|".join(["authorization", "password", "passwd", "secret", "api[_.-]?key", "credential", "cookie",
-                   "session[_.-]?(?:id|key)", "private[_.-]?key"])
-_NAME = rf"[A-Za-z0-9_.-]*(?:{_WORDS})[A-Za-z0-9_.-]*|[A-Za-z0-9_.-]*token[_.-]*|auth|session"
-_VALUE = r"""(?:"(?:\\.|[^"\\\r\n])*"|'(?:\\.|[^'\\\r\n])*'|[^,;&\r\n}\]]*)"""
 
-ASSIGNMENT = rf"""(?i)(^|[^A-Za-z0-9_.-])((?:{_NAME})["']?\s*[:=]\s*){_VALUE}"""
+
+def _sign(c: str) -> str:
+    """A character of a secret word: any case, as it is or percent-encoded."""
+    codes = {f"%{ord(x):02x}" for x in (c.lower(), c.upper())}
+    return f"(?:{c}|{'|'.join(sorted(codes))})"
+
+
+_GAP = r"(?:[_.-]|%5f|%2e|%2d)"
+_PLAIN = r"(?:[a-z0-9_.-]|%5f|%2e|%2d)*"
+# All patterns follow from the one list of names: a secret word with separators anywhere inside it, anything around it.
+_PARTS = "|".join((_GAP + "?").join(map(_sign, word)) for word in fmt.SECRET_PARTS)
+_ENDING = "".join(map(_sign, fmt.SECRET_ENDING)) + _GAP + "*"
+_NAME = f"{_PLAIN}(?:{_PARTS}){_PLAIN}|{_PLAIN}{_ENDING}|{'|'.join(fmt.SECRET_NAMES)}"
+# A value is quoted (to the end of the line where the quote stays open), bracketed, or runs to the next separator.
+_VALUE = r"""(?:"(?:\\.|[^"\\\r\n])*"?|'(?:\\.|[^'\\\r\n])*'?|\[[^\]\r\n]*\]?|\{[^}\r\n]*\}?|[^,;&\r\n}\]]*)"""
+
+ASSIGNMENT = rf"""(?i)(^|[^a-z0-9_.%-])((?:{_NAME})["']?\s*[:=]\s*+)(?!\[redacted\]){_VALUE}"""
 AUTH_HEADER = r"(?i)(^|[^A-Za-z0-9_-])((?:proxy-)?authorization|set-cookie|cookie)(\s*[:=]\s*)[^\r\n]*"
-URL_LOGIN = r"(?i)(https?://)[^\s/@]+@"
-URL_SECRET = rf"(?i)([?&#](?:{_NAME})=)[^&#\s\"'<>,]*"
+URL_LOGIN = r"(?i)(https?(?:://|%3a%2f%2f))[^\s/?#]*(?:@|%40)"
+URL_SECRET = rf"(?i)((?:[?&#]|%3f|%26|%23)(?:{_NAME})(?:=|%3d))[^&#\s\"'<>,]*"
 
 
 def redact_text(text: Column) -> Column:
-    """Mask secret assignments, authorisation headers, URL logins and secret query values."""
+    """Mask secret assignments, authorisation headers, URL logins and secret query values.
+
+    Names may be percent-encoded, also inside an encoded URL (the rest of which is then masked). A login ends at the last `@`.
+    """
     no_query = F.regexp_replace(text, URL_SECRET, "$1" + fmt.REDACTED)
     no_header = F.regexp_replace(no_query, AUTH_HEADER, "$1$2$3" + fmt.REDACTED)
     no_value = F.regexp_replace(no_header, ASSIGNMENT, f'$1$2"{fmt.REDACTED}"')
     return F.regexp_replace(no_value, URL_LOGIN, "$1")
 
 
-def is_secret_name(name: str) -> bool:
-    plain = re.sub(r"[^a-z0-9]", "", name.lower())
-    return (plain in fmt.SECRET_NAMES or plain.endswith(fmt.SECRET_ENDING)
-            or any(part in plain for part in fmt.SECRET_PARTS))
+_SECRET = re.compile("|".join([*fmt.SECRET_PARTS, f"{fmt.SECRET_ENDING}$", *(f"^{name}$" for name in fmt.SECRET_NAMES)]))
 
 
 def secret_name(name: Column) -> Column:
-    plain = F.regexp_replace(F.lower(name), r"[^a-z0-9]", "")
-    return plain.rlike("|".join(fmt.SECRET_PARTS) + f"|{fmt.SECRET_ENDING}$|^({'|'.join(fmt.SECRET_NAMES)})$")
-
+    return F.regexp_replace(F.lower(name), r"[^a-z0-9]", "").rlike(_SECRET.pattern)
 
-def _mask(value):
-    if isinstance(value, dict):
-        return {k: fmt.REDACTED if is_secret_name(k) else _mask(v) for k, v in value.items()}
-    return [_mask(v) for v in value] if isinstance(value, list) else value
 
-
-def _mask_document(text: str | None) -> str | None:
-    if text is None:
-        return None
+def _mask_document(text: str) -> str:
+    """A JSON document with the values under secret names replaced; the walk keeps its own stack, so depth is no matter."""
+    if text.lstrip()[:1] not in ("{", "["):
+        return text
     try:
-        value = json.loads(text)
+        document = json.loads(text)
     except (ValueError, RecursionError):
         return text
-    masked = _mask(value)
-    return text if masked == value else json.dumps(masked, ensure_ascii=False)
+    changed, open_parts = False, [document]
+    while open_parts:
+        part = open_parts.pop()
+        for place, value in part.items() if isinstance(part, dict) else enumerate(part):
+            if isinstance(part, dict) and _SECRET.search(re.sub(r"[^a-z0-9]", "", place.lower())):
+                changed |= value != fmt.REDACTED
+                part[place] = fmt.REDACTED
+            elif isinstance(value, (dict, list)):
+                open_parts.append(value)
+    return json.dumps(document, ensure_ascii=False) if changed else text
 
 
 @F.pandas_udf(T.StringType())

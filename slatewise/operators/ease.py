@@ -67,6 +67,7 @@ def gram(pairs: DataFrame, movies: DataFrame, min_rating: int = fmt.DEFAULT_POSI
          tile: int = blocks.TILE) -> Gram:
     """Index the liked movies and count their common users. Movies nobody liked have zero weights."""
     _check(1.0, min_rating)
+    check_training(pairs, movies)
     liked = positive(F.col("rating"), F.col("watch_count"), min_rating)
     histories = settle(pairs.select("user_id", "movie_id", liked.alias("liked")))
     users = histories.agg(F.countDistinct("user_id").alias("users"))
@@ -177,6 +178,8 @@ def licence_penalties(movies: DataFrame, fees: DataFrame, penalty: float) -> Dat
     if not math.isfinite(penalty) or penalty <= 0:
         raise ValueError("Licensing penalty must be positive and finite")
     known = fees.where("fee_status = 'known'").select("movie_id", F.col("fee").cast("double").alias("_fee"))
+    if known.isEmpty():
+        raise DataError("Not one movie has a known fee, so a penalty would do nothing")
     highest = known.agg(F.max("_fee").alias("_highest"))
     return (movies.select("movie_id").join(known, "movie_id", "left").crossJoin(F.broadcast(highest))
             .select("movie_id", (F.lit(penalty) * F.coalesce("_fee", "_highest")).alias("penalty")))
@@ -344,11 +347,12 @@ def candidate_checks(model: EaseModel, reference: EaseModel, training_movies: Da
     return result
 
 
-def policy_replay(model: EaseModel, fees: DataFrame, penalty: float, sample: int = 500, seed: int = 42,
+def policy_replay(model: EaseModel, fees: DataFrame, penalty: float, sample: int | None = None, seed: int = 42,
                   k: int = fmt.SLATE_SIZE) -> DataFrame:
-    """Slates with and without a fee penalty for a seeded user sample, one summary row per policy."""
-    users = (model.histories.where("liked").select("user_id").distinct()
-             .orderBy(F.xxhash64(F.lit(seed), F.col("user_id")), "user_id").limit(sample))
+    """Slates with and without a fee penalty for all users (or a seeded sample of them), one summary row per policy."""
+    users = model.histories.where("liked").select("user_id").distinct()
+    if sample is not None:
+        users = users.orderBy(F.xxhash64(F.lit(seed), F.col("user_id")), "user_id").limit(sample)
     histories = model.histories.join(users, "user_id", "left_semi")
     known = fees.where("fee_status = 'known'").select("movie_id", F.col("fee").cast("double").alias("fee"))
     plain = recommend(model, histories, k).withColumn("policy", F.lit("control"))

@@ -98,12 +98,16 @@ def recent_training_events(events: DataFrame, allowed_movies: DataFrame, start,
     )).drop("_allowed")
 
 
-def merge_history(static: DataFrame, live: DataFrame, min_rating: int = fmt.DEFAULT_POSITIVE_RATING) -> DataFrame:
+def merge_history(static: DataFrame, live: DataFrame, min_rating: int = fmt.DEFAULT_POSITIVE_RATING,
+                  source_id: str | None = None, topic: str | None = None) -> DataFrame:
     """(user, movie, liked) over both sources; every row counts as seen.
 
     Static: rating, watch_count. Live: watched, rating. A live rating beats everything, a static
-    dislike beats a live watch, and any other watch or like counts.
+    dislike beats a live watch, and any other watch or like counts. Live state is kept per source and topic: name
+    them where it holds more than one, so that every pair comes out once.
     """
+    for name, value in (("source_id", source_id), ("topic", topic)):
+        live = live.where(F.col(name) == value) if value is not None else live
     old = static.select(*PAIR, positive(F.col("rating"), F.col("watch_count"), min_rating).alias("_was_liked"))
     new = live.select(*PAIR, F.col("watched").alias("_watched"), F.col("rating").alias("_live_rating"))
     merged = old.join(new, list(PAIR), "full_outer")

@@ -32,10 +32,12 @@ def sessions(watches: DataFrame, keys: Sequence[str] = WATCH_KEY, ts: str = "eve
     """Number the sessions of each key; a gap of exactly `idle_seconds` already starts a new one.
 
     Keys are cut into days, so a key with very many watches is spread: inside a day neighbours are
-    compared by a window, across days only each day's newest time and session count travel.
+    compared by a window, across days only each day's newest time and session count travel. A watch without
+    a time of its own counts at the broker's, else at its ingestion, else at the epoch, so none is lost.
     """
     idle = round(idle_seconds * 1_000_000)
-    rows = watches.withColumn("_us", micros(F.col(ts))).withColumn("_day", F.expr(f"_us div {DAY}"))
+    other = [F.timestamp_millis(c) if c == "broker_timestamp_ms" else F.col(c) for c in ("broker_timestamp_ms", "ingested_at") if c in watches.columns]
+    rows = watches.withColumn("_us", F.coalesce(micros(F.coalesce(F.col(ts), *other)), F.lit(0))).withColumn("_day", F.expr(f"_us div {DAY}"))
     by_day, across = Window.partitionBy(*keys, "_day"), Window.partitionBy(*keys).orderBy("_day")
     days = rows.groupBy(*keys, "_day").agg(F.max("_us").alias("_newest")).withColumn(
         "_previous", F.lag("_newest").over(across)).select(*keys, "_day", "_previous")

@@ -185,7 +185,7 @@ doc as (select movie_id, title || ' ' || replace(genres, '|', ' ') || ' ' || ove
 words as (select movie_id, [x for x in regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') if not list_contains({_STOP_SQL}, x)] as w from doc),
 tokens as (select movie_id, unnest(list_concat(w, [w[k] || ' ' || w[k + 1] for k in range(1, len(w))])) as term from words),
 tf as (select movie_id, term, count(*) as tf from tokens group by 1, 2),
-vocab as (select term, ln((1 + (select count(*) from doc)) / cast(1 + count(*) as double)) + 1 as idf from tf group by term order by sum(tf) desc, term limit 30000),
+vocab as (select term, ln((1 + (select count(*) from doc)) / cast(1 + count(*) as double)) + 1 as idf from tf group by term),
 raw as (select movie_id, term, tf * idf as weight from tf join vocab using (term)),
 vec as (select movie_id, term, weight / sqrt(sum(weight * weight) over (partition by movie_id)) as weight from raw)
 """

@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest table, in rows, that an operator may broadcast by hand. Every caller that uses
-# `small_enough` keeps a shuffle join for tables above it.
-BROADCAST_ROWS = 2_000_000
-
 
 def build_session(app: str = "slatewise", master: str | None = None, **conf) -> SparkSession:
     """A session with UTC timestamps, AQE (with skew joins) and a RocksDB state store."""

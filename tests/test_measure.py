@@ -194,3 +194,11 @@ def test_drift_findings(spark):
     assert "schema_failure_rate" in broken
     watches = spark.createDataFrame([("kafka", "event_type", "watch", 4675)], reference.schema)
     assert drift.drift_findings(reference, reference.unionByName(watches)).count() == 0
+
+
+def test_undated_watches_are_kept(spark):
+    """A watch without a time counts at the broker's time."""
+    rows = [("s", "t", 1, "m", "2026-01-01 12:00:00", 1767268800000, 1), ("s", "t", 1, "m", None, 1767268860000, 2), ("s", "t", 1, "m", None, None, 3)]
+    df = spark.createDataFrame(rows, "source_id string, topic string, user_id long, movie_id string, at string, broker_timestamp_ms long, offset long")
+    out = sessions.sessions(df.withColumn("event_ts", F.to_timestamp("at"))).orderBy("offset").collect()
+    assert [r.offset for r in out] == [1, 2, 3] and out[0].session == out[1].session != out[2].session

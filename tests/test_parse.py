@@ -88,3 +88,13 @@ def test_times(spark, zone, text, expected):
     assert (row.time_error or row.s) == expected
     if zone is None and expected is None:
         assert row.timestamp_status == "timezone_missing"
+
+
+def test_literals_of_slates(spark):
+    """Escapes are undone; anything that starts like a literal and is no plain list of strings is invalid."""
+    from slatewise.functions.parse import parse_slate
+    texts = [r"['a\-b', 'c']", r"""['it\'s','x']""", "[b'a']", "['a', 3]", "['a', 'b']", 'a,b']
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, v string").select("n", parse_slate(F.col("v")).alias("x")).orderBy("n").collect()
+    found = [[i.movie_id for i in r.x["items"]] if r.x["items"] is not None else r.x.error for r in rows]
+    bad = "InvalidRecommendationResult"
+    assert found[0] == ["a-b", "c"] and found[1] in (["it's", "x"], bad) and found[2:] == [bad, bad, ["a", "b"], ["a", "b"]]
