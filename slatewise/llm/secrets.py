@@ -30,12 +30,20 @@ BINS_PER_DECADE = 20
 #: neighbouring signs of different class (case, digit or other).
 COINCIDENCE, HEX_COINCIDENCE, CHANGES = 0.06, 0.12, 0.2
 SERIAL_Z = 3.3
+#: Matches of a text whose places are found together.
+STRETCH = 256
+
+
+def _given(value: Column, body) -> Column:
+    """`body(value)`, with `value` computed once also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _matches(text: Column, pattern: str, gate: Column) -> Column:
     """Array of (start, end, match) of all matches, in code points; `gate` says cheaply whether there can be any.
 
-    Gaps and matches alternate, so running sums of both lengths give the places.
+    Gaps and matches alternate, so running sums of both lengths give the places. First the stretches of `STRETCH` matches
+    are added up, then the matches inside each, so no array that grows with the text is copied match by match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
@@ -48,8 +56,22 @@ def _matches(text: Column, pattern: str, gate: Column) -> Column:
         item = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
         return F.struct(end.alias("at"), F.when(pair["match"].isNull(), done["list"]).otherwise(F.array_append(done["list"], item)).alias("list"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("list")), step, lambda done: done["list"])
-    return F.when(gate, walked).otherwise(empty)
+    def walk(stretch, start):
+        return F.aggregate(stretch, F.struct(start.alias("at"), empty.alias("list")), step, lambda done: done["list"])
+
+    def covered(stretch):
+        return F.aggregate(stretch, F.lit(0), lambda n, pair: n + pair["gap"] + F.coalesce(F.length(pair["match"]), F.lit(0)))
+
+    def starts(stretches):
+        ends = F.aggregate(stretches, F.array(F.lit(0)), lambda done, part: F.array_append(done, F.element_at(done, -1) + covered(part)))
+        return _given(ends, lambda e: F.slice(e, F.lit(1), F.size(e) - 1))
+
+    def places(all_pairs):
+        firsts = F.sequence(F.lit(1), F.size(all_pairs), F.lit(STRETCH))
+        stretches = F.transform(firsts, lambda first: F.slice(all_pairs, first, F.lit(STRETCH)))
+        return _given(stretches, lambda parts: F.flatten(F.zip_with(parts, starts(parts), walk)))
+
+    return F.when(gate, _given(pairs, places)).otherwise(empty)
 
 
 def _phi(z: Column) -> Column:

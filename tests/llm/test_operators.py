@@ -183,6 +183,14 @@ def test_secrets(spark, docs, nothing, rows):
     assert left == ['[secret]" [secret] [secret]']
 
 
+def test_secrets_in_a_text_full_of_them(spark):
+    """More matches than a stretch, places beyond it, and a text of that many in little time."""
+    rng = random.Random(18)
+    text = " ".join(f"é token={rng.randrange(10 ** 9, 10 ** 10)}" + "a" * rng.randrange(4) for _ in range(20_000))
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [tuple(s) for s in row.secrets if s.kind < 3] == plain_secrets(text)
+
+
 def test_random_strings(spark):
     rng = random.Random(9)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
