@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,13 @@ from pyspark.sql import functions as F
 from slatewise.functions import formats as fmt
 from slatewise.functions.scalars import positive
 from slatewise.operators import blocks
-from slatewise.operators.interactions import first_unseen, ladder, popular_unseen
+from slatewise.operators.interactions import popular_unseen
 from slatewise.operators.quality import DataError
 from slatewise.operators.ranks import ranked
-from slatewise.session import settle
+from slatewise.session import settle, written
 
-# Weights that may be copied to every executor: 64 MiB, a catalogue of about 4,000 liked movies.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Users scored together: with a tile of 2,048 movies, 64 MiB of scores in a task.
+USERS_PER_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -185,121 +186,141 @@ def licence_penalties(movies: DataFrame, fees: DataFrame, penalty: float) -> Dat
             .select("movie_id", (F.lit(penalty) * F.coalesce("_fee", "_highest")).alias("penalty")))
 
 
-def _weight_matrix(model: EaseModel) -> np.ndarray:
-    """All weights on the driver; only called below BROADCAST_BYTES."""
-    n, tile = model.size, model.tile
-    full = np.zeros((n, n), np.float32)
-    for row in model.tiles.collect():
-        part = np.frombuffer(row.data, np.float32).reshape(-1, min(tile, n - row.tj * tile))
-        full[row.ti * tile:row.ti * tile + part.shape[0], row.tj * tile:row.tj * tile + part.shape[1]] = part
-    return full
-
-
-RANKED_SCHEMA = "user_id long, idx int, rank int, score double, base_score double"
+SCORED_SCHEMA = "user_id long, idx int, popularity double, score double, base_score double"
+STREAM_COLUMNS = {"block": "int", "tj": "int", "ti": "int", "kind": "int", "users": "array<bigint>", "idx": "array<int>",
+                  "liked": "array<boolean>", "popularity": "array<double>", "penalty": "array<double>", "data": "binary"}
+PEOPLE, FACTS, PROFILES, WEIGHTS = range(4)
 
 
 def recommend(model: EaseModel, histories: DataFrame | None = None, k: int = fmt.SLATE_SIZE,
-              penalties: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+              penalties: DataFrame | None = None) -> DataFrame:
     """Top k unseen movies of every user with a supported liked movie.
 
     histories: (user, movie, liked), every row seen; the training histories by default, or any ad-hoc
     ones. Unsupported movies are ignored and repeats count once. Result: user, movie, rank, score,
     base_score (before penalties).
+
+    Users are cut into blocks, movies into the model's tiles. A task adds up the scores of one block for one
+    column of tiles, a tile at a time, masks what was seen and emits k movies per user; the best k of these
+    are the slate. No table of users by movies exists, and nothing passes through the driver.
     """
     if k <= 0:
         raise ValueError("The number of recommendations must be positive")
-    rows = model.histories if histories is None else histories.groupBy("user_id", "movie_id").agg(
-        F.max("liked").alias("liked"))
+    rows = (model.histories if histories is None else histories).groupBy("user_id", "movie_id").agg(
+        F.coalesce(F.max("liked"), F.lit(False)).alias("liked"))
     movies = model.movies.where("idx is not null")
     cost = movies.select("movie_id", "idx", "popularity")
     if penalties is not None:
         cost = cost.join(penalties, "movie_id", "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
     else:
         cost = cost.withColumn("penalty", F.lit(0.0))
-    if model.size * model.size * 4 > broadcast_bytes:
-        return _recommend_by_joins(model, rows, cost, k)
-    known = rows.join(movies.select("movie_id", "idx"), "movie_id").select("user_id", "idx", "liked")
-    facts = cost.orderBy("idx").select("idx", "popularity", "penalty").toPandas()  # size bounded above
-    shared = model.spark.sparkContext.broadcast((
-        _weight_matrix(model), facts["popularity"].to_numpy(), facts["penalty"].to_numpy()))
-    grouped = known.repartition(blocks.tasks(model.spark), "user_id").sortWithinPartitions("user_id")
-    top = grouped.mapInPandas(lambda batches: _score_batches(batches, shared, k), RANKED_SCHEMA)
+    known = written(rows.join(movies.select("movie_id", "idx"), "movie_id").select("user_id", "idx", "liked"), "profiles")
+    stream = _score_stream(model, known, cost)
+    tile = model.tile
+    best = stream.mapInPandas(lambda batches: _score_tiles(batches, tile, k), SCORED_SCHEMA)
+    order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("popularity").desc(), F.col("idx"))
+    top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.join(movies.select("idx", "movie_id", "title"), "idx").select(
         "user_id", "movie_id", "title", "rank", "score", "base_score")
 
 
-def _score_batches(batches: Iterator[pd.DataFrame], shared, k: int) -> Iterator[pd.DataFrame]:
-    weight, popular, penalty = shared.value
-    carry = None
+def _score_stream(model: EaseModel, known: DataFrame, cost: DataFrame) -> DataFrame:
+    """All that scoring needs, side by side for each block of users and column of tiles: users, facts of the
+    column's movies, then for each row of tiles the users' movies and the weights."""
+    served = known.where("liked").select("user_id").distinct()
+    tiles = -(-model.size // model.tile)
+    blocks_of_users = max(-(-served.count() // USERS_PER_BLOCK), -(-model.spark.sparkContext.defaultParallelism // tiles))
+    block = F.pmod(F.xxhash64("user_id"), F.lit(blocks_of_users)).cast("int").alias("block")
+    number = F.expr(f"idx div {model.tile}").cast("int")
+    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks_of_users - 1))).alias("block")
+    each_tile = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tj")
+    people = served.groupBy(block).agg(F.array_sort(F.collect_list("user_id")).alias("users"))
+    facts = cost.groupBy(number.alias("tj")).agg(F.array_sort(F.collect_list(F.struct("idx", "popularity", "penalty"))).alias("f"))
+    profiles = known.join(served, "user_id", "left_semi").groupBy(block, number.alias("ti")).agg(
+        F.collect_list(F.struct("user_id", "idx", "liked")).alias("p"))
+    parts = [
+        people.select("block", "users", each_tile, F.lit(-1).alias("ti"), F.lit(PEOPLE).alias("kind")),
+        facts.select("tj", each_block, F.col("f.popularity").alias("popularity"), F.col("f.penalty").alias("penalty"),
+                     F.lit(-1).alias("ti"), F.lit(FACTS).alias("kind")),
+        profiles.select("block", "ti", each_tile, F.col("p.user_id").alias("users"), F.col("p.idx").alias("idx"),
+                        F.col("p.liked").alias("liked"), F.lit(PROFILES).alias("kind")),
+        model.tiles.select("ti", "tj", "data", each_block, F.lit(WEIGHTS).alias("kind"))]
+    same = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in STREAM_COLUMNS.items()])
+    return reduce(DataFrame.unionByName, map(same, parts)).repartition("block", "tj").sortWithinPartitions(
+        "block", "tj", "ti", "kind")
+
+
+class _Scores:
+    """Scores of one block of users for the movies of one column of tiles."""
+
+    def __init__(self, block: int, column: int, tile: int):
+        self.place, self.tile = (block, column), tile
+        self.users = self.base = self.pack = None
+
+    def add(self, row) -> None:
+        if row.kind == PEOPLE:
+            self.users = np.asarray(row.users, np.int64)
+        elif self.users is None:  # no user was dealt to this block
+            return
+        elif row.kind == FACTS:
+            self.popularity, self.penalty = np.asarray(row.popularity, float), np.asarray(row.penalty, float)
+            self.base = np.zeros((len(self.users), len(self.popularity)))
+            self.seen = np.zeros(self.base.shape, bool)
+        elif row.kind == PROFILES:
+            user, item = np.searchsorted(self.users, np.asarray(row.users, np.int64)), np.asarray(row.idx, np.int64) % self.tile
+            self.pack = (row.ti, user, item, np.asarray(row.liked, bool))
+            if row.ti == row.tj:
+                self.seen[user, item] = True
+        elif self.pack is not None and self.pack[0] == row.ti:
+            _, user, item, liked = self.pack
+            weight = np.frombuffer(row.data, np.float32).reshape(-1, self.base.shape[1]).astype(np.float64)
+            for start in range(0, len(self.users), 512):
+                part = liked & (user >= start) & (user < start + 512)
+                profile = np.zeros((min(512, len(self.users) - start), len(weight)))
+                profile[user[part] - start, item[part]] = 1.0
+                self.base[start:start + 512] += profile @ weight
+
+    def best(self, k: int) -> Iterator[pd.DataFrame]:
+        if self.base is None:
+            return
+        for start in range(0, len(self.users), 512):
+            base = self.base[start:start + 512]
+            score = np.where(self.seen[start:start + 512], -np.inf, base - self.penalty)
+            chosen = []
+            for line in score:
+                items = np.flatnonzero(line > -np.inf)
+                if len(items) > k:
+                    items = items[line[items] >= np.partition(line[items], len(items) - k)[len(items) - k]]
+                chosen.append(items[np.lexsort((items, -self.popularity[items], -line[items]))][:k])
+            user, item = np.repeat(np.arange(len(base)), list(map(len, chosen))), np.concatenate(chosen)
+            yield pd.DataFrame({"user_id": self.users[start + user], "idx": (item + self.place[1] * self.tile).astype("int32"),
+                                "popularity": self.popularity[item], "score": score[user, item], "base_score": base[user, item]})
+
+
+def _score_tiles(batches: Iterator[pd.DataFrame], tile: int, k: int) -> Iterator[pd.DataFrame]:
+    current = None
     for batch in batches:
-        if carry is not None:
-            batch = pd.concat([carry, batch], ignore_index=True)
-        if batch.empty:
-            continue
-        user = batch["user_id"].to_numpy()
-        carry = batch[user == user[-1]]  # the last user may continue in the next batch
-        whole = batch[user != user[-1]]
-        if len(whole):
-            yield _score_users(whole, weight, popular, penalty, k)
-    if carry is not None and len(carry):
-        yield _score_users(carry, weight, popular, penalty, k)
-
-
-def _score_users(rows: pd.DataFrame, weight, popular, penalty, k: int) -> pd.DataFrame:
-    users, row = np.unique(rows["user_id"].to_numpy(), return_inverse=True)
-    idx, liked = rows["idx"].to_numpy(), rows["liked"].to_numpy(dtype=bool)
-    found = []
-    for start in range(0, len(users), 256):
-        block = (row >= start) & (row < start + 256)
-        local, items, likes = row[block] - start, idx[block], liked[block]
-        count = min(256, len(users) - start)
-        profile = np.zeros((count, len(popular)))
-        profile[local[likes], items[likes]] = 1.0
-        base = profile @ weight.astype(np.float64)
-        score = base - penalty
-        score[local, items] = -np.inf
-        for u in np.flatnonzero(profile.any(axis=1)):
-            line = score[u]
-            open_items = np.flatnonzero(line > -np.inf)
-            if len(open_items) > k:
-                edge = np.partition(line[open_items], len(open_items) - k)[len(open_items) - k]
-                open_items = open_items[line[open_items] >= edge]
-            order = open_items[np.lexsort((open_items, -popular[open_items], -line[open_items]))][:k]
-            found.append(pd.DataFrame({"user_id": users[start + u], "idx": order.astype("int32"),
-                                       "rank": np.arange(1, len(order) + 1, dtype="int32"),
-                                       "score": line[order], "base_score": base[u, order]}))
-    if not found:
-        return pd.DataFrame({"user_id": pd.Series(dtype="int64"), "idx": pd.Series(dtype="int32"),
-                             "rank": pd.Series(dtype="int32"), "score": pd.Series(dtype="float64"),
-                             "base_score": pd.Series(dtype="float64")})
-    return pd.concat(found, ignore_index=True)
-
-
-def _recommend_by_joins(model: EaseModel, rows: DataFrame, cost: DataFrame, k: int) -> DataFrame:
-    """The same answer for catalogues whose weights are too large to copy around."""
-    liked = rows.where("liked").join(cost.select("movie_id"), "movie_id", "left_semi")
-    seen = rows.select("user_id", "movie_id")
-    scored = settle(score_users(liked, weights(model)).withColumnRenamed("score", "base_score"))
-    # A weight is exactly zero only between unconnected movies. Those are not in `scored`; the best k
-    # of them come from one common order, since they differ by penalty, popularity and id alone.
-    steps = ladder(cost.select("movie_id", "popularity", "penalty"), F.col("penalty"),
-                   bucket=F.struct("penalty", -F.col("popularity"), F.substring("movie_id", 1, 2)))
-    known = scored.select("user_id", "movie_id").unionByName(seen)
-    rest = first_unseen(liked.select("user_id"), known, steps, k).select(
-        "user_id", "movie_id", F.lit(0.0).alias("base_score"))
-    full = scored.join(seen, ["user_id", "movie_id"], "left_anti").unionByName(rest).join(cost.drop("idx"), "movie_id")
-    return (top_k(full.withColumn("score", F.col("base_score") - F.col("penalty")), k)
-            .join(model.movies.select("movie_id", "title"), "movie_id")
-            .select("user_id", "movie_id", "title", "rank", "score", "base_score"))
-
-
-def recommend_all(model: EaseModel, users: DataFrame, k: int = fmt.SLATE_SIZE,
-                  penalties: DataFrame | None = None) -> DataFrame:
-    """Personal slates, and popular unseen movies for users without a liked movie; `method` says which."""
-    personal = recommend(model, None, k, penalties).join(users.select("user_id").distinct(), "user_id", "left_semi")
-    liked = model.histories.where("liked").select("user_id").distinct()
-    others = users.select("user_id").distinct().join(liked, "user_id", "left_anti")
-    popular = popular_unseen(others, model.histories, model.supported, k).join(
+        for row in batch.itertuples(index=False):
+            if current is None or current.place != (row.block, row.tj):
+                if current is not None:
+                    yield from current.best(k)
+                current = _Scores(row.block, row.tj, tile)
+            current.add(row)
+    if current is not None:
+        yield from current.best(k)
+
+
+def recommend_all(model: EaseModel, users: DataFrame, k: int = fmt.SLATE_SIZE, penalties: DataFrame | None = None,
+                  histories: DataFrame | None = None) -> DataFrame:
+    """Personal slates, and popular unseen movies for users without a supported liked movie; `method` says which.
+
+    Histories are the training ones by default, or any ad-hoc ones. Only `users` are scored.
+    """
+    wanted = users.select("user_id").distinct()
+    rows = (model.histories if histories is None else histories).join(wanted, "user_id", "left_semi")
+    personal = recommend(model, rows, k, penalties)
+    liked = rows.where("liked").join(model.movies.where("idx is not null"), "movie_id", "left_semi").select("user_id").distinct()
+    popular = popular_unseen(wanted.join(liked, "user_id", "left_anti"), rows, model.supported, k).join(
         model.movies.select("movie_id", "title"), "movie_id")
     columns = ["user_id", "movie_id", "title", "rank", "score"]
     return (personal.select(*columns).withColumn("method", F.lit("ease")).unionByName(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slatewise.operators import blocks, ease, metrics
+from slatewise.operators import blocks, ease, interactions, metrics
 
 ROWS = [(1, "a", 6, 1), (1, "b", 5, 1), (1, "c", None, 1), (2, "a", 8, 1), (2, "d", 8, 1), (2, "e", 6, 1), (3, "b", 9, 1), (3, "d", 7, 1),
         (4, "a", 5, 1), (5, "e", 6, 1)]
@@ -43,17 +43,23 @@ def test_recommendations(spark, data):
     slate = lambda df, u: [r.movie_id for r in df.where(F.col("user_id") == u).orderBy("rank").collect()]
     top = ease.recommend(model, k=20)
     assert set(slate(top, 1)) == {"d", "e"} and slate(top, 4) == []
-    by_joins = ease.recommend(model, k=20, broadcast_bytes=0)
-    assert sorted(map(tuple, top.select("user_id", "movie_id", "rank").collect())) == sorted(map(tuple, by_joins.select("user_id", "movie_id", "rank").collect()))
+    by_joins = ease.top_k(interactions.exclude_seen(ease.score_users(model.histories.where("liked"), ease.weights(model)), data[0])
+                          .join(model.movies, "movie_id").where("abs(score) > 1e-9"), 20)
+    key = lambda df: {(r.user_id, r.movie_id, round(r.score, 9)) for r in df.collect()}
+    assert key(top.where("abs(score) > 1e-9")) == key(by_joins)
     everyone = ease.recommend_all(model, data[0].select("user_id"), 3)
     assert everyone.where("user_id = 4 and method = 'popularity'").count() == 3
     ad_hoc = spark.createDataFrame([(77, "a", True), (77, "a", True), (77, "zz", True), (77, "b", False)], "user_id long, movie_id string, liked boolean")
     w = {(r.src_movie, r.dst_movie): r.weight for r in ease.weights(model).collect()}
     for row in ease.recommend(model, ad_hoc, 20).collect():
         assert row.movie_id not in ("a", "b") and abs(row.score - w.get(("a", row.movie_id), 0.0)) < 1e-9
+    strangers = spark.createDataFrame([(77, "a", True), (78, "zz", True), (79, "d", False)], "user_id long, movie_id string, liked boolean")
+    served = ease.recommend_all(model, strangers.select("user_id"), 3, histories=strangers)
+    assert {(r.user_id, r.method) for r in served.collect()} == {(77, "ease"), (78, "popularity"), (79, "popularity")}
+    assert "d" not in slate(served, 79) and len(slate(served, 78)) == 3
 
 
-def test_random_catalogue_agrees_across_paths(spark):
+def test_random_catalogue_agrees_across_tiles_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = sorted({(int(u), f"m{int(m):02d}") for u, m in zip(rng.integers(1, 60, 500), rng.integers(0, 40, 500), strict=True)} | {(1, f"m{m:02d}") for m in range(38)})
     full = [(u, m, None, 1) for u, m in rows]
@@ -65,8 +71,16 @@ def test_random_catalogue_agrees_across_paths(spark):
     read = lambda df: {(r.user_id, r["rank"]): (r.movie_id, round(r.score, 5)) for r in df.collect()}
     a = read(ease.recommend(one, k=5, penalties=penalties))
     b = read(ease.recommend(many, k=5, penalties=penalties))
-    c = read(ease.recommend(many, k=5, penalties=penalties, broadcast_bytes=0))
-    assert a == b == c and len(a) > 250
+    monkeypatch.setattr(ease, "USERS_PER_BLOCK", 3)
+    c = read(ease.recommend(many, k=5, penalties=penalties))
+    weight, fee = {(r.src_movie, r.dst_movie): r.weight for r in ease.weights(one).collect()}, {r.movie_id: r.penalty for r in penalties.collect()}
+    seen = {u: {m for v, m in rows if v == u} for u, _ in rows}
+    plain = {}
+    for u, own in seen.items():
+        scores = {m: sum(weight.get((i, m), 0.0) for i in own) - fee[m] for m in fee if m not in own}
+        for n, m in enumerate(sorted(scores, key=lambda m: (-scores[m], -sum(m in x for x in seen.values()), m))[:5], 1):
+            plain[u, n] = (m, round(scores[m], 5))
+    assert a == b == c == plain and len(a) > 250
 
 
 def test_gram_counts_with_hot_owner(spark):
