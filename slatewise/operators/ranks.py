@@ -23,13 +23,6 @@ def bucket_offsets(df: DataFrame, keys: Sequence[str], bucket: str, descending:
             .withColumn("group_rows", F.sum("bucket_rows").over(group)))
 
 
-def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
            descending: bool = False, rank: str = "rank", total: str | None = None) -> DataFrame:
     """Exact row number within `keys`; `bucket` must not decrease (or increase) along `order`."""
