@@ -127,6 +127,52 @@ def candidate_checks(spark, directory):
     return ease.candidate_checks(model, model, pool, i.movies(spark, directory))
 
 
+BRAND_MODEL = """with recursive pairs as (select o_custkey as user_id, p_brand as b, max(l_quantity) as q from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by 1, 2),
+liked as (select user_id, b from pairs where q > 45),
+popular as (select b, count(*) as likes from liked group by 1),
+ids as (select b, likes, row_number() over (order by b) as i from popular),
+co as (select x.b as src, y.b as dst, count(*) as c from liked x join liked y on x.user_id = y.user_id group by 1, 2),
+cells as (select x.i, y.i as j, coalesce(c, 0) + case when x.i = y.i then 100 else 0 end as v from ids x cross join ids y left join co on src = x.b and dst = y.b),
+lines as (select i, list(cast(v as double) order by j) as line from cells group by 1),
+start as (select list(line order by i) as m from lines),
+steps as (select 0 as k, m from start union all
+  select k + 1, [[case when i = k + 1 and j = k + 1 then 1 / m[i][j] when i = k + 1 then m[i][j] / m[i][i] when j = k + 1 then -m[i][j] / m[j][j]
+    else m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] end for j in range(1, len(m) + 1)] for i in range(1, len(m) + 1)]
+  from steps where k < len(m)),
+inverse as (select m from steps where k = len(m)),
+weights as (select s.b as src, d.b as dst, -m[s.i][d.i] / m[d.i][d.i] as weight from inverse, ids s, ids d where s.i <> d.i)
+"""
+
+
+def _brand_model(spark, directory):
+    """Brands as movies over all line items: a customer's best quantity of a brand is the rating. Four tiles a side."""
+    orders = i.table(spark, directory, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
+    parts = i.table(spark, directory, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("movie_id"))
+    lines = i.table(spark, directory, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    pairs = settle(lines.join(orders, "l_orderkey").join(parts, "l_partkey").groupBy("user_id", "movie_id").agg(
+        F.ceil(F.max("l_quantity") / 5).cast("int").alias("rating"), F.count(F.lit(1)).alias("watch_count")))
+    return ease.fit(pairs, parts.select("movie_id", F.col("movie_id").alias("title")).distinct(), 100.0, 10, tile=8)
+
+
+@query(f"{BRAND_MODEL} select src as src_movie, dst as dst_movie, round(weight, 4) as weight from weights")
+def brand_weights(spark, directory):
+    """All weights of a model of brands, fitted on every line item."""
+    found = ease.weights(_brand_model(spark, directory))
+    return found.select("src_movie", "dst_movie", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+
+
+@query(f"""{BRAND_MODEL},
+scored as (select user_id, dst as b, sum(weight) as score from liked join weights on src = b group by 1, 2),
+open as (select s.*, row_number() over (partition by user_id order by score desc, likes desc, b) as rank from scored s join ids using (b)
+  where not exists (select 1 from liked x where x.user_id = s.user_id and x.b = s.b))
+select user_id, b as movie_id, rank, round(score, 4) as score from open where rank <= 5""")
+def brand_slates(spark, directory):
+    """The five brands, of those a customer has not liked, that the model of brands scores highest."""
+    model = _brand_model(spark, directory)
+    found = ease.recommend(model, model.histories.where("liked"), 5)
+    return found.select("user_id", "movie_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
+
+
 METRICS = i.PAIRS + """,
 r as (select *, row_number() over (partition by user_id order by sha256('42:' || cast(user_id as varchar) || ':' || movie_id), movie_id) as place, count(*) over (partition by user_id) as c from pairs),
 s as (select *, least(greatest(1, cast(floor(c * 0.2) as bigint)), c - 2) as v from r),
