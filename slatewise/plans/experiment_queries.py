@@ -126,7 +126,42 @@ def arm_moments(spark, directory):
     return ex.arm_moments(_users(spark, directory)).withColumns({"mean": F.round("mean", 6), "variance": F.round("variance", 4)})
 
 
-@query()
+def _inner(t: str, df: str) -> str:
+    """SQL for the chance that Student's t lies between 0 and `t`: Simpson's rule with 1,000 steps."""
+    return (f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * {t} / 3000 * list_sum([(case when k = 0 or k = 1000 then 1 when k % 2 = 1 then 4 else 2 end) "
+            f"* pow(1 + pow({t} * k / 1000, 2) / {df}, -({df} + 1) / 2) for k in range(0, 1001)])")
+
+
+TESTS = EXPERIMENT + f""",
+samples as (select arm, 'spend_per_user_with_complete_fees' as metric, cast(known_spend as double) as v from people where covered_units = observed_units
+  union all select arm, 'mean_rating_per_rater', mean_rating from people where mean_rating is not null),
+moments as (select metric, count(v) filter (arm = 'control') as n0, count(v) filter (arm = 'treatment') as n1, avg(v) filter (arm = 'control') as m0, avg(v) filter (arm = 'treatment') as m1,
+    coalesce(var_samp(v) filter (arm = 'control'), 0) as v0, coalesce(var_samp(v) filter (arm = 'treatment'), 0) as v1
+  from (select unnest(['spend_per_user_with_complete_fees', 'mean_rating_per_rater']) as metric) left join samples using (metric) group by 1),
+spread as (select metric, m1 - m0 as gap, sqrt(v0 / n0 + v1 / n1) as error, pow(v0 / n0 + v1 / n1, 2) / (pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1)) as df
+  from moments where n0 > 1 and n1 > 1 and v0 + v1 > 0),
+halving as (select metric, df, 0e0 as lo, 64e0 as hi, 0 as step from spread union all
+  select metric, df, case when inner_mass < 0.475 then (lo + hi) / 2 else lo end, case when inner_mass < 0.475 then hi else (lo + hi) / 2 end, step + 1
+  from (select *, {_inner("((lo + hi) / 2)", "df")} as inner_mass from halving where step < 50)),
+limits as (select metric, (lo + hi) / 2 as most from halving where step = 50),
+tested as (select m.metric, n0 as control_users, n1 as treatment_users, m1 - m0 as difference, gap - most * error as ci_low, gap + most * error as ci_high,
+    1 - 2 * {_inner("(abs(gap) / error)", "s.df")} as p_value,
+    case when least(n0, n1) < 2 then 'insufficient_users' when v0 + v1 = 0 then 'no_observed_variation' else 'estimated' end as status
+  from moments m left join spread s using (metric) left join limits using (metric)),
+gaps as (select count(*) filter (covered_units <> observed_units) as missing from people),
+spend as (select 'spend_per_assigned_user' as metric, t.* exclude (metric) from tested t where metric = 'spend_per_user_with_complete_fees'),
+arms as (select count(*) filter (arm = 'control') as n0, count(*) filter (arm = 'treatment') as n1, count(*) as n from people),
+tail as (select 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) as p from (select n, unnest(range(0, least(n0, n1) + 1)) as k from arms)),
+compared as (select * from tested
+  union all select metric, control_users, treatment_users, case when missing = 0 then difference end, case when missing = 0 then ci_low end, case when missing = 0 then ci_high end,
+    case when missing = 0 then p_value end, case when missing = 0 then status else 'unknown_missing_fees' end from spend, gaps
+  union all select 'assignment_balance', n0, n1, null, null, null, case when n0 = n1 then 1 else least(p, 1) end, 'estimated' from arms, tail)
+"""
+
+
+@query(f"""with recursive {TESTS} select metric, control_users, treatment_users, round(difference, 6) as difference, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high,
+  round(cast(p_value as double), 6) as p_value, status from compared""")
 def arm_comparison(spark, directory):
     """Welch tests and assignment balance."""
-    return ex.compare_arms(_users(spark, directory))
+    out = ex.compare_arms(_users(spark, directory))
+    return out.withColumns({c: F.round(c, 6) for c in ("difference", "ci_low", "ci_high", "p_value")})
