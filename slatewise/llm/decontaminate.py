@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate places, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared n-grams find every stretch that can hold an item, Smith-Waterman alignment scores it.
 
-The documents are read twice and never shuffled. The first pass counts in how many documents each n-gram of the
-benchmark occurs; an item's seeds are the rarer half of its n-grams (ties included), so items that leaked into very
-many documents keep seeds. The second pass looks seeds up and aligns every item with the words around its hits.
-The benchmark is the query set: it is taken in blocks of bounded size, each sent to the tasks.
+An alignment of at least T (equal words less edits) over an item of n words has at least T + e equal words in at most e + 1
+runs for its e edits, so it shares at least T - 1 two-word grams with the item, and covers at most 2 n - T words. Stretches of
+that length with that many grams are aligned, all others cannot reach T: no match is missed, however often an item leaked.
+The documents are read once and never shuffled. The benchmark is the query set: it is taken in blocks of bounded size, each
+sent to the tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from slatewise.llm.texts import _arrow_schema, slices
 
-GRAM = 3
+GRAM = 2
 BLOCK_WORDS = 2_000_000
+HITS = 4_000_000
+ALIGNED_CELLS = 1 << 18
+MARK_BITS = 20
 MATCH, MISMATCH, GAP = 1, -1, -1
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -93,54 +97,70 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[int, int, i
 
 
 class Items:
-    """A block of benchmark items with their n-grams (items shorter than `GRAM` words are one gram of all their words)."""
+    """A block of benchmark items with their n-grams (items of at most `GRAM` words are one gram of all their words)."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], least: float):
         numbers = Numbers()
         self.keys = [key for key, _ in rows]
         self.words = [numbers.of(words_of(text)) for _, text in rows]
-        self.grams = [gram_hashes(w, min(GRAM, len(w))) if len(w) else w for w in self.words]
-        self.sizes = sorted({min(GRAM, len(w)) for w in self.words if len(w)})
-        self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
-
-    def seeds(self, documents: np.ndarray) -> None:
-        """Keep the rarer half of each item's grams, by the number of documents that have them (aligned with `all`)."""
-        gram, item, place = [], [], []
-        for i, grams in enumerate(self.grams):
-            if len(grams):
-                count = documents[np.searchsorted(self.all, grams)]
-                kept = np.flatnonzero(count <= np.sort(count)[(len(count) - 1) // 2])
-                gram.append(grams[kept])
-                item.append(np.full(len(kept), i))
-                place.append(kept)
-        gram, item, place = (np.concatenate(x) if x else np.zeros(0, int) for x in (gram, item, place))
+        size = np.array([len(w) for w in self.words], np.int64)
+        goal = np.array([next((t for t in range(max(1, int(least * n) - 1), n) if t / n >= least), n) for n in size.tolist()], np.int64)
+        whole = size <= GRAM
+        self.length = np.where(whole, size, np.where(goal > 1, GRAM, 1))
+        self.need = np.where(whole, 1, np.where(goal > 1, goal - GRAM + 1, goal))
+        self.reach = 2 * size - goal
+        grams = [np.unique(gram_hashes(w, g)) if len(w) else w for w, g in zip(self.words, self.length.tolist(), strict=True)]
+        gram = np.concatenate([np.zeros(0, np.uint64), *grams])
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order].astype(np.uint64), item[order], place[order]
+        self.gram, self.item = gram[order], item[order]
+        self.mark = np.zeros(1 << MARK_BITS, bool)
+        self.mark[self.gram >> np.uint64(64 - MARK_BITS)] = True
 
-    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and place in the document where it would begin, for each seed found."""
-        item, start = [], []
-        for n in self.sizes:
+    def places(self, numbers: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, first, end) of all stretches that can hold an item, overlapping ones joined.
+
+        `numbers` are the words of documents one after another, `starts` where each begins and where the last ends.
+        """
+        out, shift = [], np.uint64(64 - MARK_BITS)
+        for n in sorted(set(self.length[self.length > 0].tolist())):
             grams = gram_hashes(numbers, n)
-            left = np.searchsorted(self.gram, grams)
-            found = np.flatnonzero((left < len(self.gram)) & (self.gram[np.minimum(left, len(self.gram) - 1)] == grams)) if len(self.gram) else np.zeros(0, int)
-            many = np.searchsorted(self.gram, grams[found], side="right") - left[found]
-            seed = np.repeat(left[found], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            item.append(self.item[seed])
-            start.append(np.repeat(found, many) - self.place[seed])
-        return (np.concatenate(item), np.concatenate(start)) if item else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _windows(start: np.ndarray, size: int, slack: int, words: int) -> list[tuple[int, int]]:
-    """Spans that hold the item at every hit, hits that overlap sharing a span."""
-    spans: list[list[int]] = []
-    for s in np.unique(start).tolist():
-        lo, hi = max(0, s - slack), min(words, s + size + slack)
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], hi)
-        else:
-            spans.append([lo, hi])
-    return [(lo, hi) for lo, hi in spans if hi > lo]
+            inside = self.mark[grams >> shift]
+            for back in range(1, n):  # grams of two documents
+                cut = starts[1:-1] - back
+                inside[cut[(cut >= 0) & (cut < len(inside))]] = False
+            at = np.flatnonzero(inside)
+            left = np.searchsorted(self.gram, grams[at])
+            many = np.searchsorted(self.gram, grams[at], side="right") - left
+            if many.sum() > HITS and len(starts) > 2:
+                half, out = len(starts) // 2, []
+                for part, first in ((starts[:half + 1], 0), (starts[half:], half)):
+                    base = int(part[0])
+                    out += [(row + first, i, lo + base, hi + base) for row, i, lo, hi in self.places(numbers[base:part[-1]], part - base)]
+                return out
+            seed = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
+            out += self._stretches(self.item[seed], np.repeat(at, many), n, starts)
+        return out
+
+    def _stretches(self, item: np.ndarray, x: np.ndarray, n: int, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The stretches with as many different hits (item, x) as each item of gram length `n` needs."""
+        own = self.length[item] == n
+        stride = int(starts[-1]) + 1
+        key = np.sort(item[own] * stride + x[own])
+        item, x = key // stride, key % stride
+        last = np.arange(len(key)) + self.need[item] - 1
+        at = np.flatnonzero(last < len(key))
+        last = last[at]
+        row = np.searchsorted(starts, x[at], side="right") - 1
+        room = self.reach[item[at]] - n
+        kept = (item[last] == item[at]) & (x[last] < starts[row + 1]) & (x[last] - x[at] <= room)
+        at, last, row, room = at[kept], last[kept], row[kept], room[kept]
+        if not len(at):
+            return []
+        item, lo, hi = item[at], np.maximum(starts[row], x[last] - room), np.minimum(starts[row + 1], x[at] + room + n)
+        fresh = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])]))
+        end = np.concatenate([fresh[1:], [len(at)]]) - 1
+        return list(zip(row[fresh].tolist(), item[fresh].tolist(), lo[fresh].tolist(), hi[end].tolist(), strict=True))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id",
@@ -148,71 +168,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     """Documents that hold a benchmark item: key, item, score, start, end (words of the document).
 
     The score is the alignment's (1 for equal words, -1 for a replaced, added or missing one) over the item's words; matches
-    have at least `least`. The best place of an item in a document is given. Null and empty texts, and items without words,
+    have at least `least`; items of one or two words must occur whole. The best place of an item in a document is given. Null and empty texts, and items without words,
     match nothing; a null key is carried along; repeated rows give repeated matches; repeated items each match.
     """
     kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {benchmark.schema[item].dataType.simpleString()}"
     schema = f"{kinds}, score double, `start` bigint, `end` bigint"
     arrow, out = _arrow_schema(docs.sparkSession, schema), None
-    for items in _blocks(benchmark, item, item_text):
-        items.seeds(_document_counts(docs, items, text))
+    for items in _blocks(benchmark, item, item_text, least):
         part = docs.select(key, text).mapInArrow(_search(items, text, key, least, arrow), schema)
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def _blocks(benchmark: DataFrame, item: str, item_text: str):
+def _blocks(benchmark: DataFrame, item: str, item_text: str, least: float):
     """The benchmark in blocks of about `BLOCK_WORDS` words at most."""
     queries = benchmark.select(F.col(item).alias("_item"), F.coalesce(F.col(item_text), F.lit("")).alias("_text"))
     total = queries.agg(F.sum(F.length("_text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * BLOCK_WORDS)))
     for block in range(blocks):
         chosen = queries.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block) if blocks > 1 else queries
-        yield Items(sorted(((r[0], r[1]) for r in chosen.collect()), key=lambda r: (str(r[0]), r[1])))
-
-
-def _document_counts(docs: DataFrame, items: Items, text: str) -> np.ndarray:
-    """In how many documents each gram of the block occurs; tasks send sums, not hits."""
-    schema = "gram int, n bigint"
-    arrow = _arrow_schema(docs.sparkSession, schema)
-
-    def count(batches):
-        total, numbers = np.zeros(len(items.all), np.int64), Numbers()
-        for batch in batches:
-            for rows in slices(batch, text):
-                for t in rows.column(text).to_pylist():
-                    if t and len(items.all):
-                        found = numbers.of(words_of(t))
-                        for n in items.sizes:
-                            grams = gram_hashes(found, n)
-                            place = np.minimum(np.searchsorted(items.all, grams), len(items.all) - 1)
-                            total[np.unique(place[items.all[place] == grams])] += 1
-        gram = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int32()), pa.array(total[gram])], schema=arrow)
-
-    out = np.zeros(len(items.all), np.int64)
-    for gram, n in docs.select(text).mapInArrow(count, schema).groupBy("gram").agg(F.sum("n")).collect():
-        out[gram] = n
-    return out
+        yield Items(sorted(((r[0], r[1]) for r in chosen.collect()), key=lambda r: (str(r[0]), r[1])), least)
 
 
 def _find(items: Items, numbers: Numbers, texts: list, least: float) -> dict[tuple[int, int], tuple]:
     """Best (score, start, end) of each row and item of the block that reach `least`."""
+    found = [numbers.of(words_of(t) if t else []) for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)]).astype(np.int64)
+    stream = np.concatenate([np.zeros(0, np.uint64), *found])
     waiting: dict[int, list] = {}
-    for row, t in enumerate(texts):
-        if not t:
-            continue
-        found = numbers.of(words_of(t))
-        item, start = items.hits(found)
-        for i in np.unique(item).tolist():
-            size = len(items.words[i])
-            for lo, hi in _windows(start[item == i], size, 4 + size // 4, len(found)):
-                waiting.setdefault(i, []).append((row, lo, found[lo:hi]))
+    for row, i, lo, hi in items.places(stream, starts):
+        waiting.setdefault(i, []).append((row, lo - int(starts[row]), stream[lo:hi]))
     best: dict[tuple[int, int], tuple] = {}
     for i, places in waiting.items():
-        places.sort(key=lambda p: len(p[2]))
-        for at in range(0, len(places), 256):
-            group = places[at:at + 256]
+        places.sort(key=lambda p: len(p[2]), reverse=True)
+        while places:
+            group = places[-max(1, min(256, ALIGNED_CELLS // len(places[-1][2]))):]
+            group = group[-max(1, ALIGNED_CELLS // len(group[0][2])):]
+            del places[-len(group):]
             for (row, lo, _), (score, first, last) in zip(group, align(items.words[i], [w for _, _, w in group]), strict=True):
                 share = score / len(items.words[i])
                 if share >= least and share > best.get((row, i), (0,))[0]:
@@ -247,7 +239,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         return run
 
     out = docs
-    for items in _blocks(benchmark, item, item_text):
-        items.seeds(_document_counts(docs, items, text))
+    for items in _blocks(benchmark, item, item_text, least):
         out = out.mapInArrow(keep(items), docs.schema)
     return out

@@ -299,6 +299,46 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert decontaminate.clean(table, bench).count() == 0
 
 
+def test_edited_leaks_are_found(spark):
+    """Every 5th word replaced, words inserted and random edits, alone or beside verbatim copies, against alignment of all with all."""
+    rng = random.Random(16)
+    own = lambda i: [f"w{i}x{k}" for k in range(40)]
+    items = [own(i) for i in range(12)]
+    replaced = lambda ws, step: ["new" if k % step == step - 1 else w for k, w in enumerate(ws)]
+    inserted = lambda ws, step: [x for k, w in enumerate(ws) for x in ([w, "new"] if k % step == step - 1 else [w])]
+    edited = [replaced(items[0], 5), replaced(items[1], 4), inserted(items[2], 3), inserted(items[3], 2), replaced(items[4], 5), items[5][:20],
+              [w for k, w in enumerate(items[6]) if k % 5], replaced(items[7], 3), items[8][:19], inserted(items[9], 2)[:-2]]
+    for i in (10, 11):
+        edited += [[rng.choice(["new", f"{w} new", w, w, w, w, w]) for w in items[i]] for _ in range(30)]
+    copies = [items[4]] * 3 + [items[0]] + [items[1]] * 5
+    texts = [f"{prose(rng, 30)} {' '.join(e)} {prose(rng, 30)}" for e in edited + copies] + ["", "new"]
+    words = [decontaminate.Numbers().of(decontaminate.words_of(t)) for t in texts]
+    names = [decontaminate.Numbers().of(i) for i in items]
+    want = {(d, i): plain_alignment(n.tolist(), w.tolist()) / 40 for d, w in enumerate(words) for i, n in enumerate(names) if set(n.tolist()) & set(w.tolist())}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(table, bench).collect()} == want
+    assert {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)} <= set(want) and not {(7, 7), (8, 8)} & set(want)
+    assert {r.doc_id for r in decontaminate.clean(table, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_stretches_do_not_depend_on_the_batch(monkeypatch):
+    rng = np.random.default_rng(17)
+    items = [(i, " ".join(f"v{w}" for w in rng.integers(0, 6, n))) for i, n in enumerate([1, 2, 3, 4, 7, 12])]
+    texts = ["", *(" ".join(f"v{w}" for w in rng.integers(0, 9, n)) for n in rng.integers(0, 40, 60)), None]
+    words = [decontaminate.Numbers().of(decontaminate.words_of(t or "")) for t in texts]
+    for least in (0.5, 0.6, 1.0):
+        block = decontaminate.Items(items, least)
+        want = {(d, i): s for d, w in enumerate(words) for i, n in enumerate(block.words)
+                if (s := plain_alignment(n.tolist(), w.tolist()) / len(n)) >= (least if len(n) > 2 else 1.0)}
+        found = []
+        for hits in (4_000_000, 5):
+            monkeypatch.setattr(decontaminate, "HITS", hits)
+            found.append(decontaminate._find(block, decontaminate.Numbers(), texts, least))
+        assert {k: v[0] for k, v in found[0].items()} == want and found[0] == found[1] and len(want) > 20
+
+
 def test_token_files(spark, docs, nothing, rows):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
