@@ -6,6 +6,7 @@ the catalogue size; only a small catalogue fits in a single tile.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.session import settle
+from slatewise.session import release, settle
 
 TILE = 2048
 TILE_SCHEMA = "ti int, tj int, data binary"
@@ -140,26 +141,37 @@ def invert(tiles: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     """Inverse of a symmetric positive definite matrix by block Gauss-Jordan elimination.
 
     One round per diagonal tile: invert it, scale its row, and update every other tile from the
-    matching tiles of the pivot row and column, found by equi-joins. Rounds are cut by checkpoints.
+    matching tiles of the pivot row and column, found by equi-joins. The pivot's row and column are dealt anew, as the parts of a
+    union would otherwise multiply from round to round. Rounds are cut by checkpoints; two are stored at a
+    time, and a driver collection lets Spark delete the shuffle files of the round before.
     """
     blocks = -(-n // tile)
     width = lambda block: _size(int(block), n, tile)
+    if blocks > 1:
+        tiles = settle(tiles)
     for k in range(blocks):
         pivot = _map_tiles(tiles.where(f"ti = {k} and tj = {k}"),
                            lambda r: np.linalg.inv(_matrix(r.data, width(r.tj))))
         if blocks == 1:
             return pivot
-        pivot = settle(pivot)
+        few = min(blocks, tasks(tiles.sparkSession))
+        pivot = settle(pivot.repartition(1))
         unit = F.broadcast(pivot.select(F.col("data").alias("pivot")))  # one tile
         row = settle(_map_tiles(tiles.where(f"ti = {k} and tj <> {k}").crossJoin(unit),
-                                lambda r: _matrix(r.pivot, width(r.ti)) @ _matrix(r.data, width(r.tj))))
+                                lambda r: _matrix(r.pivot, width(r.ti)) @ _matrix(r.data, width(r.tj))).repartition(few, "tj"))
         column = tiles.where(f"tj = {k} and ti <> {k}")
         turned = _map_tiles(column.crossJoin(unit),
-                            lambda r: -(_matrix(r.data, width(r.tj)) @ _matrix(r.pivot, width(r.tj))))
+                            lambda r: -(_matrix(r.data, width(r.tj)) @ _matrix(r.pivot, width(r.tj)))).repartition(few, "ti")
         rest = (tiles.where(f"ti <> {k} and tj <> {k}")
                 .join(row.select("tj", F.col("data").alias("across")), "tj")
                 .join(column.select("ti", F.col("data").alias("down")), "ti"))
         updated = _map_tiles(rest, lambda r, k=k: _matrix(r.data, width(r.tj))
                              - _matrix(r.down, width(k)) @ _matrix(r.across, width(r.tj)))
-        tiles = settle(pivot.unionByName(row).unionByName(turned).unionByName(updated))
+        done = settle(pivot.unionByName(row).unionByName(turned).unionByName(updated))
+        for old in (tiles, pivot, row):
+            release(old)
+        tiles = done
+        del unit, row, column, turned, rest, updated, pivot, done, old
+        gc.collect()
+        tiles.sparkSession._jvm.System.gc()
     return tiles

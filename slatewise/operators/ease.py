@@ -18,7 +18,7 @@ from slatewise.operators import blocks
 from slatewise.operators.interactions import popular_unseen
 from slatewise.operators.quality import DataError
 from slatewise.operators.ranks import ranked
-from slatewise.session import settle, written
+from slatewise.session import release, settle, written
 
 # Users scored together: with a tile of 2,048 movies, 64 MiB of scores in a task.
 USERS_PER_BLOCK = 4096
@@ -102,8 +102,6 @@ def solve(counts: Gram, regularization: float = fmt.DEFAULT_REGULARIZATION) -> E
     _check(regularization, counts.min_rating)
     n, tile = counts.size, counts.tile
     inverse = blocks.invert(blocks.to_tiles(counts.entries, n, regularization, tile), n, tile)
-    if n > tile:
-        inverse = settle(inverse)
     width = lambda block: min(tile, n - int(block) * tile)
 
     def weigh(row) -> np.ndarray:
@@ -127,7 +125,10 @@ def solve(counts: Gram, regularization: float = fmt.DEFAULT_REGULARIZATION) -> E
                                      lambda r: np.diag(np.frombuffer(r.data).reshape(-1, width(r.tj))).copy())
         scaled = inverse.join(diagonal.select("tj", F.col("data").alias("scale")), "tj")
         weights = blocks._map_tiles(scaled, weigh)
-    return EaseModel(counts.movies, settle(weights), counts.histories, n, tile, regularization, counts.min_rating)
+    stored = settle(weights)
+    if n > tile:
+        release(inverse)
+    return EaseModel(counts.movies, stored, counts.histories, n, tile, regularization, counts.min_rating)
 
 
 def fit(pairs: DataFrame, movies: DataFrame, regularization: float = fmt.DEFAULT_REGULARIZATION,

@@ -15,7 +15,6 @@ from slatewise.plans.registry import query
 from slatewise.session import settle
 from slatewise.streaming.project import live_interactions
 
-CATALOGUE_SIZE = 2000  # candidate movies, as a model parameter
 STOP = ("a", "an", "and", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "the", "to", "with")
 
 LIKES = i.PAIRS + """,
@@ -64,9 +63,8 @@ def weighted_scores(spark, directory):
 
 def _model(spark, directory, pairs=None):
     pairs = settle(i.pairs(spark, directory)) if pairs is None else pairs
-    pool = op.popular_catalogue(i.movies(spark, directory).select("movie_id", "title"), op.popularity(pairs), CATALOGUE_SIZE)
-    pool = settle(pool.select("movie_id", "title"))
-    return ease.fit(pairs.join(pool.select("movie_id"), "movie_id", "left_semi"), pool), pool
+    pool = settle(i.movies(spark, directory).select("movie_id", "title"))
+    return ease.fit(pairs, pool), pool
 
 
 @query()

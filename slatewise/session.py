@@ -54,6 +54,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the stored rows of a settled table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    stored = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if stored.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(stored.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write to a new Parquet table in the shared folder and read it back (columnar, prunable)."""
     path = fresh_path(df.sparkSession, name)

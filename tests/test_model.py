@@ -1,10 +1,12 @@
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from slatewise.operators import blocks, ease, interactions, metrics
+from slatewise.plans import model_queries
 
 ROWS = [(1, "a", 6, 1), (1, "b", 5, 1), (1, "c", None, 1), (2, "a", 8, 1), (2, "d", 8, 1), (2, "e", 6, 1), (3, "b", 9, 1), (3, "d", 7, 1),
         (4, "a", 5, 1), (5, "e", 6, 1)]
@@ -83,6 +85,32 @@ def test_random_catalogue_agrees_across_tiles_and_blocks(spark, monkeypatch):
     assert a == b == c == plain and len(a) > 250
 
 
+def test_registered_model_holds_the_whole_catalogue(spark, monkeypatch):
+    """More movies than the 2,000 that were once the limit."""
+    pairs = spark.range(2100).selectExpr("id as user_id", "lpad(id, 4, '0') as movie_id", "cast(null as int) as rating", "1L as watch_count")
+    monkeypatch.setattr(model_queries.i, "movies", lambda *_: pairs.selectExpr("movie_id", "movie_id as title"))
+    fitted = []
+    monkeypatch.setattr(model_queries.ease, "fit", lambda p, m: fitted.append((p.count(), m.count())))
+    model_queries._model(spark, "", pairs)
+    assert fitted == [(2100, 2100)]
+
+
+def test_inverse_keeps_no_old_rounds(spark, tmp_path, monkeypatch):
+    stored, live = blocks.settle, []
+    monkeypatch.setattr(blocks, "settle", lambda df: live.append(stored(df)) or live[-1])
+    a = np.random.default_rng(4).integers(0, 5, (11, 11))
+    a = a @ a.T + 3 * np.eye(11, dtype=int)
+    entries = spark.createDataFrame([(i, j, int(a[i, j])) for i in range(11) for j in range(i, 11)], "i int, j int, n long")
+    found = np.zeros((11, 11))
+    for r in blocks.invert(blocks.to_tiles(entries, 11, 0.0, 3), 11, 3).collect():
+        part = np.frombuffer(r.data).reshape(-1, min(3, 11 - 3 * r.tj))
+        found[3 * r.ti:3 * r.ti + len(part), 3 * r.tj:3 * r.tj + part.shape[1]] = part
+    assert np.allclose(found @ a, np.eye(11), atol=1e-8)
+    assert live[-1].rdd.getNumPartitions() <= 3 * blocks.tasks(spark)
+    path = lambda df: df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert [os.path.exists(path(df)) for df in live] == [False] * (len(live) - 1) + [True]
+
+
 def test_gram_counts_with_hot_owner(spark):
     rng = np.random.default_rng(2)
     members = sorted({(int(o), int(i)) for o, i in zip(rng.integers(0, 40, 300), rng.integers(0, 25, 300), strict=True)} | {(0, i) for i in range(25)})
