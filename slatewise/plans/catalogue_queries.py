@@ -135,6 +135,19 @@ def recent_training_reasons(spark, directory):
     return rows.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""with {i.LOG}, {i.MOVIES}
+select coalesce(case when event_ts is null then 'timestamp_missing'
+  when not (event_ts >= timestamp '2024-01-05' and event_ts < timestamp '2024-01-25') or ingested_at > timestamp '2024-01-25' then 'outside_window'
+  when parse_status <> 'parsed' or event_type is null or event_type not in ('watch', 'rating') then 'not_training_event'
+  when l.movie_id not in (select movie_id from movies) then 'outside_candidate_catalogue'
+  when event_type = 'rating' and not coalesce(rating between 1 and 10, false) then 'invalid_rating'
+  when not coalesce(user_id > 0, false) then 'invalid_user' end, 'kept') as drop_reason, count(*) as n from log l group by 1""")
+def whole_catalogue_training_reasons(spark, directory):
+    """The same reasons with all movies as candidates, where `recent_training_reasons` is the case of a pool of 1,000."""
+    rows = op.recent_training_events(i.parsed(spark, directory), i.movies(spark, directory), "2024-01-05", "2024-01-25")
+    return rows.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 LIVE = """
 live as (select user_id, movie_id, bool_or(event_type = 'watch') as watched,
            arg_max(rating, (event_ts, "partition", "offset")) filter (event_type = 'rating') as rating

@@ -112,3 +112,13 @@ def test_split_sizes_and_repeatability(spark):
         assert (parts.count("training"), parts.count("validation"), parts.count("test")) == (6, 2, 2)
     assert {one[(9, "x")], one[(9, "y")]} == {"training"}
     assert one != {(r.user_id, r.movie_id): r.part for r in split(df, seed=7).collect()}
+
+
+def test_no_movie_of_the_catalogue_is_outside_the_pool(spark):
+    """At sf0.01 (2,000 movies) a pool of 1,000 drops valid events, the whole catalogue does not."""
+    import __spark_entry__ as entry
+    sample = "/root/testdata/sf0.01"
+    count = lambda name: {r.drop_reason: r.n for r in entry.queries()[name](spark, sample).collect()}
+    whole, small = count("whole_catalogue_training_reasons"), count("recent_training_reasons")
+    outside = "outside_candidate_catalogue"
+    assert sum(whole.values()) == sum(small.values()) and whole["kept"] == small["kept"] + small[outside] and outside not in whole
