@@ -52,7 +52,8 @@ def op4_quality_rules(spark, directory):
 @query
 def op5_secrets(spark, directory):
     found = secrets.scan(texts.table(spark, directory, "documents"))
-    kinds = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    of = lambda k: lambda s: s["kind"] == k
+    kinds = [F.size(F.filter("secrets", of(k))).cast("bigint").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
     base = secrets.spelled(F.filter("secrets", lambda s: s["kind"] < 3))
     return found.select("doc_id", *kinds, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("secrets")).alias("spans"))
 
