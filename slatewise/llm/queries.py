@@ -8,19 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import (decontaminate, labelled, language, near_copies, packing, quality_model, quality_rules, secrets, texts,
+from slatewise.llm import (decontaminate, hard_negatives, labelled, language, near_copies, packing, quality_model, quality_rules, secrets, texts,
                            token_count, token_files, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function):
+def query(function=None, sql: str | None = None):
+    if function is None:
+        return lambda f: query(f, sql)
+
     @wraps(function)
     def run(spark: SparkSession, directory: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return function(spark, directory)
     QUERIES[function.__name__] = run
+    if sql:
+        ORACLES[function.__name__] = sql
     return run
 
 
@@ -92,3 +97,26 @@ def op10_quality_classifier(spark, directory):
     model = quality_model.fit(docs, texts.table(spark, directory, "labels"))
     found = quality_model.predict(docs, model)
     return found.select("doc_id", labelled.held_out().alias("held_out"), "score", "predicted")
+
+
+@query(sql="""
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM scored WHERE same QUALIFY place <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+  QUALIFY rank <= 10)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives
+""")
+def op11_hard_negatives(spark, directory):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(texts.table(spark, directory, "embeddings"), label=label, anchor=F.col("id") % 100 == 0)
