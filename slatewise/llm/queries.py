@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import (decontaminate, hard_negatives, labelled, language, near_copies, packing, quality_model, quality_rules, secrets, texts,
+from slatewise.llm import (chats, decontaminate, hard_negatives, labelled, language, near_copies, packing, quality_model, quality_rules, repair, secrets, texts,
                            token_count, token_files, toxicity)
+from slatewise.session import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +121,46 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 def op11_hard_negatives(spark, directory):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(texts.table(spark, directory, "embeddings"), label=label, anchor=F.col("id") % 100 == 0)
+
+
+@query(sql=r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marks(mark) AS (VALUES ('<<SYS>>'), ('<</SYS>>'), ('[INST]'), ('[/INST]'), ('<s>'), ('</s>'), ('<<ROLE>>'), ('<</ROLE>>'), ('<</TURN>>')),
+heads AS (SELECT DISTINCT substr(mark, 1, CAST(n AS BIGINT)) AS head FROM marks, range(1, 9) AS r(n) WHERE n < length(mark)),
+strings AS (SELECT DISTINCT text AS s FROM given UNION SELECT DISTINCT role FROM given),
+guards AS (
+  SELECT s, (length(s) - length(replace(s, '␛', ''))) + (SELECT sum((length(s) - length(replace(s, mark, ''))) // length(mark)) FROM marks)
+            + (SELECT count(*) FROM heads WHERE ends_with(s, head)) AS n FROM strings),
+turns AS (
+  SELECT g.*, length(g.text) + t.n + CASE g.role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+              ELSE 8 + length(g.role) + r.n + 9 + 9 END AS formatted
+  FROM given g JOIN guards t ON t.s = g.text JOIN guards r ON r.s = g.role)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS loss_sha256,
+       CAST(sum(formatted) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+""")
+def op12_chat_format(spark, directory):
+    given = texts.table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", same), (-1, 1, "assistant", same)], given.schema)
+    formatted = written(chats.format_chats(given.unionAll(added)), "chats")
+    return chats.read_back(formatted).drop("state")
+
+
+@query
+def op13_structure_repair(spark, directory):
+    given = texts.table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    audits, mended = repair.repair(repair.damage(given))
+    names = [c for c in audits.columns if c != "conv_id"]
+    hashed = repair.digests(mended).withColumnRenamed("conv_id", "_hashed")
+    whole = audits.join(hashed, F.col("conv_id").eqNullSafe(F.col("_hashed")), "left").withColumnRenamed("conv_id", "_conv")
+    every = given.select("conv_id").distinct()
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return every.join(whole, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit("") if c == "audit" else F.lit(0).cast("bigint")).alias(c) for c in names),
+        F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
