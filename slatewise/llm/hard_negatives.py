@@ -24,7 +24,8 @@ from slatewise.session import written
 SHELF_ROWS = 8192
 BLOCK_ANCHORS = 2048
 FIRST_DEPTH = 16
-EXACT = 1 << 53
+#: Below these, sums of whole numbers are exact in single and double numbers.
+EXACT32, EXACT = 1 << 24, 1 << 53
 
 
 def usable(vectors: DataFrame, key: str, vector: str, label: Column) -> DataFrame:
@@ -44,8 +45,20 @@ class Shelf:
         self.no_id = np.array(ids.is_null())
         self.ids = ids.fill_null(0).to_numpy()
         self.values = matrix(table.column("vector"), scale, width)
-        self.order = np.argsort(self.values, axis=0, kind="stable").T
+        self.order = np.ascontiguousarray(np.argsort(self.values, axis=0, kind="stable").T.astype(np.int32))
         self.most = float(np.abs(self.values).max(initial=0))
+        self.single = self.whole = None
+
+    def kept(self, most: float) -> np.ndarray:
+        """The components as numbers in which sums up to `most` are exact: single, double or Python's own."""
+        if most < EXACT32:
+            self.single = self.values.astype(np.float32) if self.single is None else self.single
+            return self.single
+        if most < EXACT:
+            return self.values
+        if self.whole is None:
+            self.whole = np.array([int(x) for x in self.values.ravel().tolist()], object).reshape(self.values.shape)
+        return self.whole
 
     def __len__(self):
         return len(self.rows)
@@ -70,41 +83,46 @@ def search(shelf: Shelf, anchor: np.ndarray, allowed: np.ndarray, windows: list[
     used = np.flatnonzero(anchor)
     weights = anchor[used]
     top = weights > 0
-    whole = max(1, width) * shelf.most * float(np.abs(anchor).max(initial=0)) < EXACT
-    values = shelf.values if whole else np.array([[int(x) for x in row] for row in shelf.values.tolist()], object).reshape(n, width)
-    target = anchor if whole else np.array([int(x) for x in anchor.tolist()], object)
-    number = (lambda x: x) if whole else (lambda x: np.array([int(v) for v in x.tolist()], np.int64))
+    most = max(1, width) * shelf.most * float(np.abs(anchor).max(initial=0))
+    values, target, number = shelf.kept(most), anchor, np.int64
+    if most < EXACT32:
+        target = anchor.astype(np.float32)
+    elif most >= EXACT:
+        target, number = np.array([int(x) for x in anchor.tolist()], object), lambda x: [int(v) for v in x.tolist()]
     seen = np.zeros(n, bool)
-    places, scores = np.zeros(0, np.int64), np.zeros(0, np.float64 if whole else np.int64)
+    places, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
     depth, scored = 0, 0
-    while True:
+    while scored < n:
         until = min(n, max(FIRST_DEPTH, 2 * depth))
         fresh = np.zeros(n, bool)
-        for ahead, dims in ((True, used[top]), (False, used[~top])):
-            lists = shelf.order[dims]
-            fresh[(lists[:, n - until:n - depth] if ahead else lists[:, depth:until]).ravel()] = True
-        if not len(used) or until == n:
-            fresh[:] = True
+        if n - scored <= len(used) * (until - depth) or not len(used):
+            fresh[:] = True  # the rows left are fewer than the entries that the lists' next stretch would read
+            until = n
+        else:
+            for ahead, dims in ((True, used[top]), (False, used[~top])):
+                lists = shelf.order[dims]
+                fresh[(lists[:, n - until:n - depth] if ahead else lists[:, depth:until]).ravel()] = True
         fresh &= ~seen
         seen |= fresh
         depth, met = until, np.flatnonzero(fresh)
         scored += len(met)
         met = met[allowed[met]]
         places = np.concatenate([places, met])
-        scores = np.concatenate([scores, number(values[met] @ target) if len(met) else scores[:0]])
-        if depth == n or not len(used):
+        scores = np.concatenate([scores, np.array(number(values[met] @ target), np.int64)]) if len(met) else scores
+        if scored == n:
             break
         at = np.where(top, shelf.order[used, n - depth], shelf.order[used, depth - 1])
-        threshold = float((shelf.values[at, used] * weights).sum()) if whole else sum(
-            int(shelf.values[a, d]) * int(anchor[d]) for a, d in zip(at, used, strict=True))
+        threshold = sum(int(shelf.values[a, d]) * int(anchor[d]) for a, d in zip(at, used, strict=True))
         if all(threshold < bound(scores, low, high, k) for low, high in windows):
             break
     out = []
     for low, high in windows:
         inside = np.flatnonzero((scores >= low) & (scores <= high))
+        if len(inside) > k:
+            inside = inside[scores[inside] >= np.partition(scores[inside], len(inside) - k)[len(inside) - k]]
         found = places[inside]
         first = np.lexsort((shelf.ids[found], shelf.no_id[found], -scores[inside]))[:k]
-        out.append((found[first], scores[inside][first].astype(np.int64)))
+        out.append((found[first], scores[inside][first]))
     return out, scored
 
 
