@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,25 +14,29 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import formats as fmt
 from slatewise.functions.scalars import positive
-from slatewise.operators import blocks
+from slatewise.operators import blocks, krylov
 from slatewise.operators.interactions import popular_unseen
 from slatewise.operators.quality import DataError
-from slatewise.operators.ranks import ranked
-from slatewise.session import release, settle, written
+from slatewise.operators.ranks import numbered
+from slatewise.session import settle, written
 
-# Users scored together: with a tile of 2,048 movies, 64 MiB of scores in a task.
-USERS_PER_BLOCK = 4096
+# Users scored together, and the weights that a scoring task holds while users pass by.
+USERS_PER_BLOCK = 512
+WEIGHT_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
 class EaseModel:
-    """movies: (movie_id, title, idx, likes, popularity), idx null without likes; tiles: float32 weights."""
+    """movies: (movie_id, title, idx, likes, popularity), idx null without likes.
+
+    panels: (panel, data, residual), float32 weights of `width` target movies from all `size` movies, source by source.
+    """
 
     movies: DataFrame
-    tiles: DataFrame
+    panels: DataFrame
     histories: DataFrame
     size: int
-    tile: int
+    width: int
     regularization: float
     min_rating: int
 
@@ -53,38 +57,36 @@ def _check(regularization: float, min_rating: int) -> None:
 
 
 @dataclass(frozen=True)
-class Gram:
-    """Co-occurrence counts of liked movies, reusable for every regularization."""
+class Training:
+    """Liked movies with their numbers, usable for every regularization. members: (owner, idx)."""
 
     movies: DataFrame
-    entries: DataFrame
+    members: DataFrame
     histories: DataFrame
     size: int
-    tile: int
+    likes: int
     min_rating: int
 
 
-def gram(pairs: DataFrame, movies: DataFrame, min_rating: int = fmt.DEFAULT_POSITIVE_RATING,
-         tile: int = blocks.TILE) -> Gram:
-    """Index the liked movies and count their common users. Movies nobody liked have zero weights."""
+def prepare(pairs: DataFrame, movies: DataFrame, min_rating: int = fmt.DEFAULT_POSITIVE_RATING) -> Training:
+    """Number the liked movies in order of their ids. Movies nobody liked have zero weights."""
     _check(1.0, min_rating)
     check_training(pairs, movies)
     liked = positive(F.col("rating"), F.col("watch_count"), min_rating)
-    histories = settle(pairs.select("user_id", "movie_id", liked.alias("liked")))
+    histories = written(pairs.select("user_id", "movie_id", liked.alias("liked")), "histories")
     users = histories.agg(F.countDistinct("user_id").alias("users"))
     likes = histories.where("liked").groupBy("movie_id").agg(F.count(F.lit(1)).alias("likes"))
-    index = ranked(likes, [], [F.col("movie_id")], F.substring("movie_id", 1, 2), rank="_n").select(
-        "movie_id", "likes", (F.col("_n") - 1).cast("int").alias("idx"))
+    index = numbered(likes, [F.col("movie_id")], "idx").withColumn("idx", F.col("idx").cast("int"))
     known = (movies.select("movie_id", "title").join(index, "movie_id", "left").crossJoin(F.broadcast(users))
              .select("movie_id", "title", "idx", F.coalesce("likes", F.lit(0)).alias("likes"),
                      (F.coalesce("likes", F.lit(0)) / F.col("users")).alias("popularity")))
-    known = settle(known)
-    size = known.where("idx is not null").count()
+    known = written(known, "movies")
+    size, total = known.where("idx is not null").agg(F.count("*"), F.sum("likes")).first()
     if not size:
         raise DataError("Training requires at least one positive interaction in the catalogue")
     members = (histories.where("liked").join(known.where("idx is not null").select("movie_id", "idx"), "movie_id")
                .select(F.col("user_id").alias("owner"), "idx"))
-    return Gram(known, settle(blocks.cooccurrence(members, size, tile)), histories, size, tile, min_rating)
+    return Training(known, members, histories, size, total, min_rating)
 
 
 def check_training(pairs: DataFrame, movies: DataFrame) -> None:
@@ -97,66 +99,104 @@ def check_training(pairs: DataFrame, movies: DataFrame) -> None:
         raise DataError("Training interactions contain unknown movies")
 
 
-def solve(counts: Gram, regularization: float = fmt.DEFAULT_REGULARIZATION) -> EaseModel:
-    """Weights W[i, j] = -P[i, j] / P[j, j] with P = (G + λI)^-1 and a zero diagonal."""
-    _check(regularization, counts.min_rating)
-    n, tile = counts.size, counts.tile
-    inverse = blocks.invert(blocks.to_tiles(counts.entries, n, regularization, tile), n, tile)
-    width = lambda block: min(tile, n - int(block) * tile)
-
-    def weigh(row) -> np.ndarray:
-        part = np.frombuffer(row.data).reshape(-1, width(row.tj))
-        scaled = -part / np.frombuffer(row.scale)
-        if row.ti == row.tj:
-            np.fill_diagonal(scaled, 0.0)
-        return scaled.astype(np.float32)
-
-    if n <= tile:
-        def weigh_alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    part = np.frombuffer(row.data).reshape(n, n)
-                    scaled = -part / np.diag(part)
-                    np.fill_diagonal(scaled, 0.0)
-                    yield pd.DataFrame({"ti": [0], "tj": [0], "data": [scaled.astype(np.float32).tobytes()]})
-        weights = inverse.mapInPandas(weigh_alone, blocks.TILE_SCHEMA)
+def solve(training: Training, regularizations: Sequence[float], likes_limit: int = krylov.LIKES, tile: int = blocks.TILE) -> list[EaseModel]:
+    """A model for each λ: weights W[i, j] = -P[i, j] / P[j, j] with P = (G + λI)^-1 and a zero diagonal.
+
+    Up to `likes_limit` likes, which every task then holds, columns are solved on their own and all λ in one run; beyond, the dense inverse
+    is made tile by tile, once for each λ.
+    """
+    for regularization in regularizations:
+        _check(regularization, training.min_rating)
+    n, width = training.size, krylov.columns_of_a_block(training.size)
+    if training.likes <= likes_limit:
+        solved = written(krylov.weight_panels(training.members, n, regularizations), "weights")
+        panels = [solved.where(F.col("place") == i).drop("place") for i in range(len(regularizations))]
     else:
-        diagonal = blocks._map_tiles(inverse.where("ti = tj"),
-                                     lambda r: np.diag(np.frombuffer(r.data).reshape(-1, width(r.tj))).copy())
-        scaled = inverse.join(diagonal.select("tj", F.col("data").alias("scale")), "tj")
-        weights = blocks._map_tiles(scaled, weigh)
-    stored = settle(weights)
-    if n > tile:
-        release(inverse)
-    return EaseModel(counts.movies, stored, counts.histories, n, tile, regularization, counts.min_rating)
+        counts = settle(blocks.cooccurrence(training.members, n, tile))
+        panels = [written(_dense_panels(counts, n, regularization, tile, width), "weights") for regularization in regularizations]
+    return [EaseModel(training.movies, found, training.histories, n, width, regularization, training.min_rating)
+            for found, regularization in zip(panels, regularizations, strict=True)]
+
+
+def _dense_panels(counts: DataFrame, n: int, regularization: float, tile: int, width: int) -> DataFrame:
+    """Weight panels from the tiles of the inverse: each tile is cut into strips, and the strips of a panel put together."""
+    inverse = blocks.invert(blocks.to_tiles(counts, n, regularization, tile), n, tile)
+    columns = lambda block: min(tile, n - int(block) * tile)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                part = np.frombuffer(row.data).reshape(-1, columns(row.tj))
+                first = row.tj * tile
+                for panel in range(first // width, (first + part.shape[1] - 1) // width + 1):
+                    low, high = max(panel * width, first), min((panel + 1) * width, first + part.shape[1])
+                    yield pd.DataFrame({"panel": [panel], "ti": [row.ti], "low": [low], "high": [high],
+                                        "data": [np.ascontiguousarray(part[:, low - first:high - first]).tobytes()]})
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        panel = int(group["panel"].iloc[0])
+        first, last = panel * width, min(n, (panel + 1) * width)
+        x = np.zeros((n, last - first))
+        for row in group.itertuples(index=False):
+            part = np.frombuffer(row.data).reshape(-1, row.high - row.low)
+            x[row.ti * tile:row.ti * tile + len(part), row.low - first:row.high - first] = part
+        own = np.arange(first, last), np.arange(last - first)
+        x = -x / x[own]
+        x[own] = 0.0
+        return pd.DataFrame({"panel": [panel], "data": [x.astype(np.float32).tobytes()], "residual": [None]})
+
+    return inverse.mapInPandas(cut, "panel int, ti int, low int, high int, data binary").groupBy("panel").applyInPandas(
+        join, "panel int, data binary, residual double")
 
 
 def fit(pairs: DataFrame, movies: DataFrame, regularization: float = fmt.DEFAULT_REGULARIZATION,
-        min_rating: int = fmt.DEFAULT_POSITIVE_RATING, tile: int = blocks.TILE) -> EaseModel:
+        min_rating: int = fmt.DEFAULT_POSITIVE_RATING, likes_limit: int = krylov.LIKES, tile: int = blocks.TILE) -> EaseModel:
     """Fit on interactions (user, movie, rating, watch_count) of catalogue movies."""
     _check(regularization, min_rating)
-    return solve(gram(pairs, movies, min_rating, tile), regularization)
+    return solve(prepare(pairs, movies, min_rating), [regularization], likes_limit, tile)[0]
+
+
+def _panel(row, n: int) -> np.ndarray:
+    return np.frombuffer(row.data, np.float32).reshape(n, -1)
 
 
 def weights(model: EaseModel) -> DataFrame:
-    """Long form (src, dst, weight) of all nonzero weights."""
-    n, tile = model.size, model.tile
+    """Long form (src, dst, weight) of all nonzero weights; a catalogue has movies × movies of them."""
+    n, width = model.size, model.width
 
-    def open_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def open_panels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                data = np.frombuffer(row.data, np.float32).reshape(-1, min(tile, n - row.tj * tile))
+                data = _panel(row, n)
                 i, j = np.nonzero(data)
-                yield pd.DataFrame({"src": (i + row.ti * tile).astype("int32"), "dst": (j + row.tj * tile).astype("int32"),
-                                    "weight": data[i, j]})
+                yield pd.DataFrame({"src": i.astype("int32"), "dst": (j + row.panel * width).astype("int32"), "weight": data[i, j]})
 
-    flat = model.tiles.mapInPandas(open_tiles, "src int, dst int, weight float")
+    flat = model.panels.select("panel", "data").mapInPandas(open_panels, "src int, dst int, weight float")
     names = model.movies.where("idx is not null").select("movie_id", "idx")
     return (flat.join(names.select(F.col("movie_id").alias("src_movie"), F.col("idx").alias("src")), "src")
             .join(names.select(F.col("movie_id").alias("dst_movie"), F.col("idx").alias("dst")), "dst")
             .select("src_movie", "dst_movie", "weight"))
 
 
+def weight_summary(model: EaseModel) -> DataFrame:
+    """Per target movie: weights (nonzero ones), lowest, highest and total weight, and whether all are finite."""
+    n, width = model.size, model.width
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                data = _panel(row, n).astype(np.float64)
+                some = data != 0
+                yield pd.DataFrame({"idx": (np.arange(data.shape[1]) + row.panel * width).astype("int32"), "weights": some.sum(0),
+                                    "lowest": np.where(some, data, np.inf).min(0), "highest": np.where(some, data, -np.inf).max(0),
+                                    "total": data.sum(0), "finite": np.isfinite(data).all(0)})
+
+    found = model.panels.select("panel", "data").mapInPandas(summed, "idx int, weights long, lowest double, highest double, total double, finite boolean")
+    some = lambda c: F.when(F.col("weights") > 0, F.col(c)).alias(c)
+    return found.join(model.movies.where("idx is not null").select("movie_id", "idx"), "idx").select(
+        "movie_id", "weights", some("lowest"), some("highest"), "total", "finite")
+
+
 def score_users(liked: DataFrame, weight_rows: DataFrame) -> DataFrame:
     """(user, movie, score): weight rows of the liked movies added up, as join and aggregation."""
     rows = weight_rows.select(F.col("src_movie").alias("movie_id"), "dst_movie", "weight")
@@ -188,9 +228,9 @@ def licence_penalties(movies: DataFrame, fees: DataFrame, penalty: float) -> Dat
 
 
 SCORED_SCHEMA = "user_id long, idx int, popularity double, score double, base_score double"
-STREAM_COLUMNS = {"block": "int", "tj": "int", "ti": "int", "kind": "int", "users": "array<bigint>", "idx": "array<int>",
-                  "liked": "array<boolean>", "popularity": "array<double>", "penalty": "array<double>", "data": "binary"}
-PEOPLE, FACTS, PROFILES, WEIGHTS = range(4)
+STREAM_COLUMNS = {"part": "int", "kind": "int", "place": "int", "users": "array<bigint>", "idx": "array<int>", "liked": "array<boolean>",
+                  "popularity": "array<double>", "penalty": "array<double>", "data": "binary"}
+FACTS, WEIGHTS, PEOPLE = range(3)
 
 
 def recommend(model: EaseModel, histories: DataFrame | None = None, k: int = fmt.SLATE_SIZE,
@@ -201,8 +241,8 @@ def recommend(model: EaseModel, histories: DataFrame | None = None, k: int = fmt
     ones. Unsupported movies are ignored and repeats count once. Result: user, movie, rank, score,
     base_score (before penalties).
 
-    Users are cut into blocks, movies into the model's tiles. A task adds up the scores of one block for one
-    column of tiles, a tile at a time, masks what was seen and emits k movies per user; the best k of these
+    A task loads the weights of some target movies once and lets blocks of users pass by: it adds the weight rows of
+    a user's liked movies, masks what was seen and emits k movies per user; the best k of these
     are the slate. No table of users by movies exists, and nothing passes through the driver.
     """
     if k <= 0:
@@ -216,9 +256,8 @@ def recommend(model: EaseModel, histories: DataFrame | None = None, k: int = fmt
     else:
         cost = cost.withColumn("penalty", F.lit(0.0))
     known = written(rows.join(movies.select("movie_id", "idx"), "movie_id").select("user_id", "idx", "liked"), "profiles")
-    stream = _score_stream(model, known, cost)
-    tile = model.tile
-    best = stream.mapInPandas(lambda batches: _score_tiles(batches, tile, k), SCORED_SCHEMA)
+    n, width = model.size, model.width
+    best = _score_stream(model, known, cost).mapInPandas(lambda batches: _score_groups(batches, n, width, k), SCORED_SCHEMA)
     order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("popularity").desc(), F.col("idx"))
     top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.join(movies.select("idx", "movie_id", "title"), "idx").select(
@@ -226,89 +265,78 @@ def recommend(model: EaseModel, histories: DataFrame | None = None, k: int = fmt
 
 
 def _score_stream(model: EaseModel, known: DataFrame, cost: DataFrame) -> DataFrame:
-    """All that scoring needs, side by side for each block of users and column of tiles: users, facts of the
-    column's movies, then for each row of tiles the users' movies and the weights."""
+    """All that scoring needs, side by side for each group of panels and shard of users (a `part`): facts of the group's
+    movies, its weights, then blocks of users. The weights are copied once for each shard, and there are only as many shards as it takes
+    to give every task a part; users are copied once for each group."""
+    n, width = model.size, model.width
+    group = max(1, WEIGHT_BYTES // (4 * n * width))
+    groups = -(-(-(-n // width)) // group)
+    parallel = max(int(model.spark.conf.get("spark.sql.shuffle.partitions")), model.spark.sparkContext.defaultParallelism)
     served = known.where("liked").select("user_id").distinct()
-    tiles = -(-model.size // model.tile)
-    blocks_of_users = max(-(-served.count() // USERS_PER_BLOCK), -(-model.spark.sparkContext.defaultParallelism // tiles))
-    block = F.pmod(F.xxhash64("user_id"), F.lit(blocks_of_users)).cast("int").alias("block")
-    number = F.expr(f"idx div {model.tile}").cast("int")
-    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks_of_users - 1))).alias("block")
-    each_tile = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tj")
-    people = served.groupBy(block).agg(F.array_sort(F.collect_list("user_id")).alias("users"))
-    facts = cost.groupBy(number.alias("tj")).agg(F.array_sort(F.collect_list(F.struct("idx", "popularity", "penalty"))).alias("f"))
-    profiles = known.join(served, "user_id", "left_semi").groupBy(block, number.alias("ti")).agg(
-        F.collect_list(F.struct("user_id", "idx", "liked")).alias("p"))
+    blocks_of_users = max(1, -(-served.count() // USERS_PER_BLOCK))
+    shards = min(blocks_of_users, -(-parallel // groups))
+    block = F.pmod(F.xxhash64("user_id"), F.lit(blocks_of_users)).cast("int").alias("place")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    number = F.expr(f"idx div {width * group}").cast("int").alias("group")
+    facts = cost.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("idx", "popularity", "penalty"))).alias("f"))
+    people = known.join(served, "user_id", "left_semi").groupBy(block).agg(F.collect_list(F.struct("user_id", "idx", "liked")).alias("p"))
+    part = F.col("group") * shards + F.col("shard")
     parts = [
-        people.select("block", "users", each_tile, F.lit(-1).alias("ti"), F.lit(PEOPLE).alias("kind")),
-        facts.select("tj", each_block, F.col("f.popularity").alias("popularity"), F.col("f.penalty").alias("penalty"),
-                     F.lit(-1).alias("ti"), F.lit(FACTS).alias("kind")),
-        profiles.select("block", "ti", each_tile, F.col("p.user_id").alias("users"), F.col("p.idx").alias("idx"),
-                        F.col("p.liked").alias("liked"), F.lit(PROFILES).alias("kind")),
-        model.tiles.select("ti", "tj", "data", each_block, F.lit(WEIGHTS).alias("kind"))]
-    same = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in STREAM_COLUMNS.items()])
-    return reduce(DataFrame.unionByName, map(same, parts)).repartition("block", "tj").sortWithinPartitions(
-        "block", "tj", "ti", "kind")
-
-
-class _Scores:
-    """Scores of one block of users for the movies of one column of tiles."""
-
-    def __init__(self, block: int, column: int, tile: int):
-        self.place, self.tile = (block, column), tile
-        self.users = self.base = self.pack = None
-
-    def add(self, row) -> None:
-        if row.kind == PEOPLE:
-            self.users = np.asarray(row.users, np.int64)
-        elif self.users is None:  # no user was dealt to this block
-            return
-        elif row.kind == FACTS:
-            self.popularity, self.penalty = np.asarray(row.popularity, float), np.asarray(row.penalty, float)
-            self.base = np.zeros((len(self.users), len(self.popularity)))
-            self.seen = np.zeros(self.base.shape, bool)
-        elif row.kind == PROFILES:
-            user, item = np.searchsorted(self.users, np.asarray(row.users, np.int64)), np.asarray(row.idx, np.int64) % self.tile
-            self.pack = (row.ti, user, item, np.asarray(row.liked, bool))
-            if row.ti == row.tj:
-                self.seen[user, item] = True
-        elif self.pack is not None and self.pack[0] == row.ti:
-            _, user, item, liked = self.pack
-            weight = np.frombuffer(row.data, np.float32).reshape(-1, self.base.shape[1]).astype(np.float64)
-            for start in range(0, len(self.users), 512):
-                part = liked & (user >= start) & (user < start + 512)
-                profile = np.zeros((min(512, len(self.users) - start), len(weight)))
-                profile[user[part] - start, item[part]] = 1.0
-                self.base[start:start + 512] += profile @ weight
-
-    def best(self, k: int) -> Iterator[pd.DataFrame]:
-        if self.base is None:
-            return
-        for start in range(0, len(self.users), 512):
-            base = self.base[start:start + 512]
-            score = np.where(self.seen[start:start + 512], -np.inf, base - self.penalty)
-            chosen = []
-            for line in score:
-                items = np.flatnonzero(line > -np.inf)
-                if len(items) > k:
-                    items = items[line[items] >= np.partition(line[items], len(items) - k)[len(items) - k]]
-                chosen.append(items[np.lexsort((items, -self.popularity[items], -line[items]))][:k])
-            user, item = np.repeat(np.arange(len(base)), list(map(len, chosen))), np.concatenate(chosen)
-            yield pd.DataFrame({"user_id": self.users[start + user], "idx": (item + self.place[1] * self.tile).astype("int32"),
-                                "popularity": self.popularity[item], "score": score[user, item], "base_score": base[user, item]})
-
-
-def _score_tiles(batches: Iterator[pd.DataFrame], tile: int, k: int) -> Iterator[pd.DataFrame]:
-    current = None
+        facts.select("group", each(shards).alias("shard"), F.col("f.popularity").alias("popularity"), F.col("f.penalty").alias("penalty"),
+                     F.lit(FACTS).alias("kind"), F.lit(-1).alias("place")),
+        model.panels.select(F.expr(f"panel div {group}").cast("int").alias("group"), each(shards).alias("shard"), F.lit(WEIGHTS).alias("kind"),
+                            F.col("panel").alias("place"), "data"),
+        people.select(each(groups).alias("group"), (F.col("place") % shards).alias("shard"), F.lit(PEOPLE).alias("kind"), "place",
+                      F.col("p.user_id").alias("users"), F.col("p.idx").alias("idx"), F.col("p.liked").alias("liked"))]
+    same = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in STREAM_COLUMNS.items()])
+    stream = reduce(DataFrame.unionByName, [same(p.withColumn("part", part)) for p in parts])
+    return stream.repartitionByRange(groups * shards, "part").sortWithinPartitions("part", "kind", "place")
+
+
+class _Group:
+    """Weights of a group of target movies; scores the blocks of users that pass by."""
+
+    def __init__(self, first: int, columns: int, n: int):
+        self.first, self.n = first, n
+        self.weights = np.zeros((n, columns), np.float32)
+
+    def facts(self, popularity: np.ndarray, penalty: np.ndarray) -> None:
+        self.popularity, self.penalty = popularity, penalty
+
+    def load(self, column: int, data: np.ndarray) -> None:
+        self.weights[:, column - self.first:column - self.first + data.shape[1]] = data
+
+    def best(self, users: np.ndarray, idx: np.ndarray, liked: np.ndarray, k: int) -> pd.DataFrame:
+        names, user = np.unique(users, return_inverse=True)
+        base = krylov.Rows(user[liked], idx[liked], len(names)).sums(self.weights)
+        score, inside = base - self.penalty, (idx >= self.first) & (idx < self.first + base.shape[1])
+        score[user[inside], idx[inside] - self.first] = -np.inf
+        chosen = []
+        for line in score:
+            items = np.flatnonzero(line > -np.inf)
+            if len(items) > k:
+                items = items[line[items] >= np.partition(line[items], len(items) - k)[len(items) - k]]
+            chosen.append(items[np.lexsort((items, -self.popularity[items], -line[items]))][:k])
+        row, item = np.repeat(np.arange(len(names)), list(map(len, chosen))), np.concatenate(chosen)
+        return pd.DataFrame({"user_id": names[row], "idx": (item + self.first).astype("int32"), "popularity": self.popularity[item],
+                             "score": score[row, item], "base_score": base[row, item]})
+
+
+def _score_groups(batches: Iterator[pd.DataFrame], n: int, width: int, k: int) -> Iterator[pd.DataFrame]:
+    current = part = None
     for batch in batches:
         for row in batch.itertuples(index=False):
-            if current is None or current.place != (row.block, row.tj):
-                if current is not None:
-                    yield from current.best(k)
-                current = _Scores(row.block, row.tj, tile)
-            current.add(row)
-    if current is not None:
-        yield from current.best(k)
+            if row.kind == FACTS:
+                part = row.part
+                current = None
+                facts = np.asarray(row.popularity, float), np.asarray(row.penalty, float)
+            elif row.kind == WEIGHTS:
+                if current is None:
+                    current = _Group(row.place * width, len(facts[0]), n)
+                    current.facts(*facts)
+                current.load(row.place * width, _panel(row, n))
+            elif current is not None and row.part == part:
+                yield current.best(np.asarray(row.users, np.int64), np.asarray(row.idx, np.int64), np.asarray(row.liked, bool), k)
 
 
 def recommend_all(model: EaseModel, users: DataFrame, k: int = fmt.SLATE_SIZE, penalties: DataFrame | None = None,
@@ -331,20 +359,20 @@ def recommend_all(model: EaseModel, users: DataFrame, k: int = fmt.SLATE_SIZE, p
 def save_model(model: EaseModel, path: str) -> None:
     """Movies, weight tiles and histories as Parquet, parameters as a one-row table."""
     model.movies.write.mode("errorifexists").parquet(f"{path}/movies")
-    model.tiles.write.mode("errorifexists").parquet(f"{path}/tiles")
+    model.panels.write.mode("errorifexists").parquet(f"{path}/panels")
     model.histories.write.mode("errorifexists").parquet(f"{path}/histories")
     model.spark.createDataFrame(
-        [(1, model.size, model.tile, float(model.regularization), int(model.min_rating))],
-        "format_version int, size int, tile int, regularization double, min_rating int",
+        [(2, model.size, model.width, float(model.regularization), int(model.min_rating))],
+        "format_version int, size int, width int, regularization double, min_rating int",
     ).coalesce(1).write.mode("errorifexists").parquet(f"{path}/parameters")
 
 
 def load_model(spark: SparkSession, path: str) -> EaseModel:
     saved = spark.read.parquet(f"{path}/parameters").first()
-    if saved.format_version != 1:
+    if saved.format_version != 2:
         raise ValueError("Unsupported model version")
-    return EaseModel(spark.read.parquet(f"{path}/movies"), spark.read.parquet(f"{path}/tiles"),
-                     spark.read.parquet(f"{path}/histories"), saved.size, saved.tile,
+    return EaseModel(spark.read.parquet(f"{path}/movies"), spark.read.parquet(f"{path}/panels"),
+                     spark.read.parquet(f"{path}/histories"), saved.size, saved.width,
                      saved.regularization, saved.min_rating)
 
 
@@ -357,8 +385,7 @@ def candidate_checks(model: EaseModel, reference: EaseModel, training_movies: Da
         "movies_match_training": apart(model.movies, training_movies).crossJoin(
             apart(training_movies, model.movies).withColumnRenamed("ok", "ok2")).select((F.col("ok") & F.col("ok2")).alias("ok")),
         "movies_in_catalogue": apart(model.movies, catalogue),
-        "finite_weights": weights(model).agg(F.coalesce(F.every(
-            ~F.isnan("weight") & (F.abs("weight") < float("inf"))), F.lit(True)).alias("ok")),
+        "finite_weights": weight_summary(model).agg(F.coalesce(F.every("finite"), F.lit(True)).alias("ok")),
         "finite_popularity": model.movies.agg(F.every(~F.isnan("popularity") & (F.abs("popularity") < float("inf"))).alias("ok")),
         "fallback_nonempty": model.movies.agg(F.coalesce(F.some(F.col("popularity") > 0), F.lit(False)).alias("ok")),
     }

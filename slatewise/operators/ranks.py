@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewise.session import written
+
 
 def bucket_offsets(df: DataFrame, keys: Sequence[str], bucket: str, descending: bool = False) -> DataFrame:
     """(keys, bucket, bucket_rows, rows_before, group_rows): one row per bucket, nulls kept apart."""
@@ -41,6 +43,22 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
     return joined.select(*df.columns, rank, *([total] if total else []))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """All rows with their place in `order`, from 0; `order` should tell all rows apart.
+
+    Rows are sorted by ranges whose limits come from a sample, so ids with one long common prefix or one crowded stretch of numbers still spread
+    over all tasks. Only the number of rows of each range passes through a single window.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    stored = written(placed, "numbered")
+    part = F.shiftrightunsigned(F.col("_at"), 33)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    joined = stored.withColumn("_part", part).join(starts, "_part")
+    return joined.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_at")
+
+
 def tail_bounds(df: DataFrame, key: str, position: str, quota: int, bucket_rows: int = 100_000) -> DataFrame:
     """Per key: rows seen, whether the newest `quota` rows leave some out, and the kept positions' bounds.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatewise.functions.scalars import normalize_title
-from slatewise.operators import blocks, coldstart, ease, metrics
+from slatewise.operators import blocks, coldstart, ease, krylov, metrics
 from slatewise.operators import interactions as op
 from slatewise.operators import text as tx
 from slatewise.operators.split import split
@@ -71,9 +71,17 @@ def _model(spark, directory, pairs=None):
 def ease_weights(spark, directory):
     """Fitted weights per target movie: count, extremes and total."""
     model, _ = _model(spark, directory)
-    return ease.weights(model).groupBy(F.col("dst_movie").alias("movie_id")).agg(
-        F.count(F.lit(1)).alias("weights"), F.round(F.min("weight"), 4).alias("lowest"), F.round(F.max("weight"), 4).alias("highest"),
-        F.round(F.sum("weight"), 3).alias("total"))
+    return ease.weight_summary(model).select("movie_id", "weights", *(F.round(c, 4).alias(c) for c in ("lowest", "highest")), F.round("total", 3).alias("total"))
+
+
+@query(f"""with {LIKES} select cast(floor(r / w) as bigint) as panel, count(*) as movies, 0.0 as residual from (
+  select row_number() over (order by movie_id) - 1 as r, greatest(least(floor(1048576 / count(*) over ()), 64, count(*) over ()), 4) as w
+  from (select distinct movie_id from liked)) m group by 1""")
+def ease_residuals(spark, directory):
+    """Largest entry of |(G + λI) x - e| over the columns of each panel of the fitted inverse, to nine digits."""
+    model, _ = _model(spark, directory)
+    return model.panels.select(F.col("panel").cast("bigint").alias("panel"), F.expr(f"octet_length(data) div {4 * model.size}").cast("bigint").alias("movies"),
+                               F.round("residual", 9).alias("residual"))
 
 
 @query()
@@ -88,8 +96,8 @@ def profile_slates(spark, directory):
     """Slates from merged static and live histories instead of the training ones."""
     live = _live(spark, directory)
     model, _ = _model(spark, directory)
-    merged = op.merge_history(i.pairs(spark, directory), live)
-    return ease.recommend(model, merged, 20).select("user_id", "movie_id", "rank", F.round("score", 6).alias("score"))
+    merged = settle(op.merge_history(i.pairs(spark, directory), live))
+    return ease.recommend_all(model, merged, 20, histories=merged).select("user_id", "movie_id", "rank", F.round("score", 6).alias("score"), "method")
 
 
 def _live(spark, directory):
@@ -101,7 +109,7 @@ def penalised_slates(spark, directory):
     """Slates with 0.0001 points per unit of licence fee."""
     model, _ = _model(spark, directory)
     penalties = ease.licence_penalties(model.movies, i.fees(spark, directory), 0.0001)
-    return ease.recommend(model, None, 20, penalties).select("user_id", "movie_id", "rank", F.round("score", 6).alias("score"))
+    return ease.recommend_all(model, i.users(spark, directory), 20, penalties).select("user_id", "movie_id", "rank", F.round("score", 6).alias("score"), "method")
 
 
 @query(f"""with {i.FEES} select movie_id, round(cast(0.01 * coalesce(fee, (select max(fee) from fees)) as double), 6) as penalty from fees""")
@@ -142,20 +150,28 @@ weights as (select s.b as src, d.b as dst, -m[s.i][d.i] / m[d.i][d.i] as weight
 """
 
 
-def _brand_model(spark, directory):
-    """Brands as movies over all line items: a customer's best quantity of a brand is the rating. Four tiles a side."""
+def brand_pairs(spark, directory):
+    """Brands as movies over all line items: a customer's best quantity of a brand is the rating."""
     orders = i.table(spark, directory, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
     parts = i.table(spark, directory, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("movie_id"))
     lines = i.table(spark, directory, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    pairs = settle(lines.join(orders, "l_orderkey").join(parts, "l_partkey").groupBy("user_id", "movie_id").agg(
-        F.ceil(F.max("l_quantity") / 5).cast("int").alias("rating"), F.count(F.lit(1)).alias("watch_count")))
-    return ease.fit(pairs, parts.select("movie_id", F.col("movie_id").alias("title")).distinct(), 100.0, 10, tile=8)
+    return lines.join(orders, "l_orderkey").join(parts, "l_partkey").groupBy("user_id", "movie_id").agg(
+        F.ceil(F.max("l_quantity") / 5).cast("int").alias("rating"), F.count(F.lit(1)).alias("watch_count"))
+
+
+def brands(spark, directory):
+    return i.table(spark, directory, "part").select(F.col("p_brand").alias("movie_id"), F.col("p_brand").alias("title")).distinct()
+
+
+def _brand_model(spark, directory, by_tiles=False):
+    """A model of brands; columns on their own, or four tiles a side."""
+    return ease.fit(settle(brand_pairs(spark, directory)), brands(spark, directory), 100.0, 10, likes_limit=0 if by_tiles else krylov.LIKES, tile=8)
 
 
 @query(f"{BRAND_MODEL} select src as src_movie, dst as dst_movie, round(weight, 4) as weight from weights")
 def brand_weights(spark, directory):
     """All weights of a model of brands, fitted on every line item."""
-    found = ease.weights(_brand_model(spark, directory))
+    found = ease.weights(_brand_model(spark, directory, by_tiles=True))
     return found.select("src_movie", "dst_movie", F.round(F.col("weight").cast("double"), 4).alias("weight"))
 
 

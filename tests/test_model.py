@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slatewise.operators import blocks, ease, interactions, metrics
+from slatewise.operators import blocks, ease, interactions, krylov, metrics
 from slatewise.plans import model_queries
 
 ROWS = [(1, "a", 6, 1), (1, "b", 5, 1), (1, "c", None, 1), (2, "a", 8, 1), (2, "d", 8, 1), (2, "e", 6, 1), (3, "b", 9, 1), (3, "d", 7, 1),
@@ -26,10 +26,10 @@ def dense(rows=ROWS, names="abcdef", penalty=2.0):
     return x
 
 
-@pytest.mark.parametrize("tile", [2048, 2, 3])
-def test_weights_equal_ridge_regressions(spark, data, tile):
-    """Each column is the ridge regression of a movie on the other movies, whatever the tile size."""
-    model = ease.fit(*data, 2.0, 6, tile=tile)
+@pytest.mark.parametrize("tile, limit", [(2048, 100), (2048, 0), (2, 0), (3, 0)])
+def test_weights_equal_ridge_regressions(spark, data, tile, limit):
+    """Each column is the ridge regression of a movie on the other movies, by columns or by tiles of any size."""
+    model = ease.fit(*data, 2.0, 6, limit, tile)
     x = dense()
     found = {(r.src_movie, r.dst_movie): r.weight for r in ease.weights(model).collect()}
     for j, dst in enumerate("abcdef"):
@@ -68,12 +68,13 @@ def test_random_catalogue_agrees_across_tiles_and_blocks(spark, monkeypatch):
     pairs = spark.createDataFrame(full, "user_id long, movie_id string, rating int, watch_count long")
     movies = spark.createDataFrame([(f"m{n:02d}", "t") for n in range(40)], "movie_id string, title string")
     fees = spark.createDataFrame([(f"m{n:02d}", float(n % 7), "known" if n % 5 else "missing") for n in range(40)], "movie_id string, fee double, fee_status string")
-    one, many = ease.fit(pairs, movies, 5.0), ease.fit(pairs, movies, 5.0, tile=9)
+    one, many = ease.fit(pairs, movies, 5.0), ease.fit(pairs, movies, 5.0, likes_limit=0, tile=9)
     penalties = ease.licence_penalties(movies, fees, 0.02)
     read = lambda df: {(r.user_id, r["rank"]): (r.movie_id, round(r.score, 5)) for r in df.collect()}
     a = read(ease.recommend(one, k=5, penalties=penalties))
     b = read(ease.recommend(many, k=5, penalties=penalties))
     monkeypatch.setattr(ease, "USERS_PER_BLOCK", 3)
+    monkeypatch.setattr(ease, "WEIGHT_BYTES", 1)
     c = read(ease.recommend(many, k=5, penalties=penalties))
     weight, fee = {(r.src_movie, r.dst_movie): r.weight for r in ease.weights(one).collect()}, {r.movie_id: r.penalty for r in penalties.collect()}
     seen = {u: {m for v, m in rows if v == u} for u, _ in rows}
@@ -85,6 +86,30 @@ def test_random_catalogue_agrees_across_tiles_and_blocks(spark, monkeypatch):
     assert a == b == c == plain and len(a) > 250
 
 
+def test_krylov_columns(spark, monkeypatch):
+    """Several λ in one run, long lists, hot users and many panels, against the dense inverse."""
+    monkeypatch.setattr(krylov, "LONGEST", 4)
+    monkeypatch.setattr(krylov, "BLOCK_NUMBERS", 300)
+    monkeypatch.setattr(krylov, "CHUNK", 100)
+    rng = np.random.default_rng(6)
+    x = (rng.random((90, 37)) < 0.15) * 1.0
+    x[:, 4] = x[11] = 1.0
+    x[3], x[:, 0] = 0.0, x[:, 1]
+    owner, idx = np.nonzero(x)
+    members = spark.createDataFrame([(int(o) * 13 - 5, int(i)) for o, i in zip(owner, idx)], "owner long, idx int").repartition(7)
+    shifts = [8.0, 0.5, 100.0, 8.0]
+    found = np.zeros((4, 37, 37))
+    for r in krylov.weight_panels(members, 37, shifts).collect():
+        part = np.frombuffer(r.data, np.float32).reshape(37, -1)
+        found[r.place][:, r.panel * 8:r.panel * 8 + part.shape[1]] = part
+        assert r.residual < 1e-8
+    for place, shift in enumerate(shifts):
+        p = np.linalg.inv(x.T @ x + shift * np.eye(37))
+        want = -p / np.diag(p)
+        np.fill_diagonal(want, 0)
+        assert np.abs(found[place] - want).max() < 1e-6
+
+
 def test_registered_model_holds_the_whole_catalogue(spark, monkeypatch):
     """More movies than the 2,000 that were once the limit."""
     pairs = spark.range(2100).selectExpr("id as user_id", "lpad(id, 4, '0') as movie_id", "cast(null as int) as rating", "1L as watch_count")
