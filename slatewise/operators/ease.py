@@ -308,7 +308,7 @@ class _Group:
 
     def best(self, users: np.ndarray, idx: np.ndarray, liked: np.ndarray, k: int) -> pd.DataFrame:
         names, user = np.unique(users, return_inverse=True)
-        base = krylov.Rows(user[liked], idx[liked], len(names)).sums(self.weights)
+        base = krylov.Rows(user[liked], idx[liked], len(names)).added(self.weights)
         score, inside = base - self.penalty, (idx >= self.first) & (idx < self.first + base.shape[1])
         score[user[inside], idx[inside] - self.first] = -np.inf
         chosen = []

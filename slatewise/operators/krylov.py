@@ -22,8 +22,10 @@ LIKES = 16_000_000
 CHUNK = 1 << 18
 #: Numbers in one vector block of a task, from which the columns of a block follow.
 BLOCK_NUMBERS = 1 << 20
-TOLERANCE = 1e-10
-ROUNDS = 2_000
+#: Residual aimed at, relative error of one pass, and its most steps; products are in single numbers, which a pass cannot get below.
+GOAL, PASS = 1e-9, 1e-5
+ROUNDS, PASSES = 2_000, 8
+MOST_COLUMNS = 16
 SCHEMA = "panel int, place int, data binary, residual double"
 LONGEST = 64
 
@@ -49,17 +51,36 @@ class Rows:
         self.rest = np.delete(np.arange(len(self.owner)), self.first)
 
     def sums(self, block: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.owners, block.shape[1]))
+        """One row for each owner, in the precision of `block`."""
+        out = np.zeros((self.owners, block.shape[1]), block.dtype)
         if not self.lists:
             return out
-        found = block[self.lists[0]].astype(np.float64, copy=False)
+        found, room = np.take(block, self.lists[0], axis=0, mode="clip"), None
         for rows in self.lists[1:]:
-            found[:len(rows)] += block[rows]
+            room = np.empty((len(rows), block.shape[1]), block.dtype) if room is None else room
+            found[:len(rows)] += np.take(block, rows, axis=0, out=room[:len(rows)], mode="clip")
         out[self.owner[self.first]] = found[self.first]
         np.add.at(out, self.owner[self.rest], found[self.rest])
         return out
 
 
+    def added(self, block: np.ndarray) -> np.ndarray:
+        """The sums in double numbers, a stretch of columns at a time, whatever the precision of `block`."""
+        out = np.zeros((self.owners, block.shape[1]))
+        for first in range(0, block.shape[1], 256):
+            out[:, first:first + 256] = self._doubled(block[:, first:first + 256])
+        return out
+
+    def _doubled(self, block: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.owners, block.shape[1]))
+        if self.lists:
+            found = block[self.lists[0]].astype(np.float64)
+            for rows in self.lists[1:]:
+                found[:len(rows)] += block[rows]
+            np.add.at(out, self.owner, found)
+        return out
+
+
 class Likes:
     """X as index lists by user and by movie; applies G = XᵀX."""
 
@@ -73,24 +94,44 @@ class Likes:
 
 
 def solve(apply, targets: np.ndarray, shifts: Sequence[float]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(solution, largest residual by column) of (A + shift) x = targets for every shift, smallest first; A is `apply`."""
+    """(solution, largest residual by column) of (A + shift) x = targets for every shift, smallest first; A is `apply`.
+
+    One pass for all shifts, with products in single numbers; then the residuals in double numbers, and passes for what is
+    left of each shift until `GOAL` is reached.
+    """
+    rough = lambda block: apply(block.astype(np.float32)).astype(np.float64)
+    out = []
+    for x, shift in zip(_pass(rough, targets, shifts, PASS), shifts, strict=True):
+        for _ in range(PASSES):
+            left = targets - apply(x) - shift * x
+            if np.abs(left).max() <= GOAL:
+                break
+            size = np.abs(left).max(0)
+            scale = np.where(size > 0, size, 1.0)
+            x += scale * _pass(rough, left / scale, [shift], max(PASS, min(0.1, GOAL / size.max() / 4)))[0]
+        out.append((x, np.abs(left).max(0)))
+    return out
+
+
+def _pass(apply, targets: np.ndarray, shifts: Sequence[float], tolerance: float) -> list[np.ndarray]:
+    """Conjugate gradients for all shifts in the Krylov space of the smallest one."""
     base, extra = shifts[0], [s - shifts[0] for s in shifts]
     found = [np.zeros_like(targets) for _ in shifts]
     steps = [targets.copy() for _ in shifts]
     left, norm = targets.copy(), (targets * targets).sum(0)
-    goal, before = norm * TOLERANCE ** 2, np.ones(targets.shape[1])
+    goal, before = norm * tolerance ** 2, np.ones(targets.shape[1])
     now = [np.ones(targets.shape[1]) for _ in shifts]
     last = [np.ones(targets.shape[1]) for _ in shifts]
     ratio, length = np.zeros(targets.shape[1]), norm.copy()
     for _ in range(ROUNDS):
-        if (length <= goal).all():
+        active = length > goal
+        if not active.any():
             break
         moved = apply(steps[0]) + base * steps[0]
-        active = length > goal
         with np.errstate(divide="ignore", invalid="ignore"):
-            pace = np.where(active, length / (steps[0] * moved).sum(0), 0.0)
-            new = left - pace * moved
-            size = (new * new).sum(0)
+            pace = np.where(active, length / np.einsum("ij,ij->j", steps[0], moved), 0.0)
+            left -= pace * moved
+            size = np.einsum("ij,ij->j", left, left)
             share = np.where(active, size / length, 0.0)
             for i, shift in enumerate(extra):
                 if i:
@@ -101,18 +142,15 @@ def solve(apply, targets: np.ndarray, shifts: Sequence[float]) -> list[tuple[np.
                     after, gain = np.ones_like(pace), np.ones_like(pace)
                 found[i] += pace * gain * steps[i]
                 steps[i] *= share * gain * gain
-                steps[i] += after * new
+                steps[i] += after * left
                 last[i], now[i] = now[i], after
-        left, length = new, np.where(active, size, length)
+        length = np.where(active, size, length)
         before, ratio = np.where(active, pace, before), share
-    out = []
-    for x, shift in zip(found, shifts, strict=True):
-        out.append((x, np.abs(apply(x) + shift * x - targets).max(0)))
-    return out
+    return found
 
 
 def columns_of_a_block(n: int) -> int:
-    return int(min(max(BLOCK_NUMBERS // n, 4), 64, n))
+    return int(min(max(BLOCK_NUMBERS // n, 4), MOST_COLUMNS, n))
 
 
 def weight_panels(members: DataFrame, n: int, regularizations: Sequence[float]) -> DataFrame:

@@ -75,13 +75,13 @@ def ease_weights(spark, directory):
 
 
 @query(f"""with {LIKES} select cast(floor(r / w) as bigint) as panel, count(*) as movies, 0.0 as residual from (
-  select row_number() over (order by movie_id) - 1 as r, greatest(least(floor(1048576 / count(*) over ()), 64, count(*) over ()), 4) as w
+  select row_number() over (order by movie_id) - 1 as r, greatest(least(floor(1048576 / count(*) over ()), 16, count(*) over ()), 4) as w
   from (select distinct movie_id from liked)) m group by 1""")
 def ease_residuals(spark, directory):
-    """Largest entry of |(G + λI) x - e| over the columns of each panel of the fitted inverse, to nine digits."""
+    """Largest entry of |(G + λI) x - e| over the columns of each panel of the fitted inverse, to eight digits."""
     model, _ = _model(spark, directory)
     return model.panels.select(F.col("panel").cast("bigint").alias("panel"), F.expr(f"octet_length(data) div {4 * model.size}").cast("bigint").alias("movies"),
-                               F.round("residual", 9).alias("residual"))
+                               F.round("residual", 8).alias("residual"))
 
 
 @query()
