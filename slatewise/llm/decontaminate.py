@@ -1,8 +1,10 @@
-"""Benchmark decontamination: shared n-grams find every stretch that can hold an item, Smith-Waterman alignment scores it.
+"""Benchmark decontamination: rare n-grams of an item seed its candidates, Smith-Waterman alignment scores them.
 
 An alignment of at least T (equal words less edits) over an item of n words has at least T + e equal words in at most e + 1
-runs for its e edits, so it shares at least T - 1 two-word grams with the item, and covers at most 2 n - T words. Stretches of
-that length with that many grams are aligned, all others cannot reach T: no match is missed, however often an item leaked.
+runs for its e edits, so it shares the two-word grams of at least T - 1 places of the item, and covers at most 2 n - T words.
+An item's seeds are its rarest grams (by the number of items that hold them), as many as leave fewer than T - 1 places
+of the item without one: a match cannot do without a seed, whatever its edits and however often the item leaked. Documents join items on seeds only; of
+these pairs all shared grams are counted, and stretches of that length with that many grams are aligned. All others cannot reach T: no match is missed.
 The documents are read once and never shuffled. The benchmark is the query set: it is taken in blocks of bounded size, each
 sent to the tasks.
 """
@@ -96,6 +98,13 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[int, int, i
     return list(zip(best.tolist(), first.tolist(), last.tolist()))
 
 
+def _grouped(keys: np.ndarray, values: np.ndarray):
+    """(key, values) of sorted keys."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    if len(keys):
+        yield from ((int(keys[part[0]]), values[part]) for part in np.split(np.arange(len(keys)), cuts))
+
+
 class Items:
     """A block of benchmark items with their n-grams (items of at most `GRAM` words are one gram of all their words)."""
 
@@ -110,13 +119,26 @@ class Items:
         self.need = np.where(whole, 1, np.where(goal > 1, goal - GRAM + 1, goal))
         self.reach = 2 * size - goal
         grams = [np.unique(gram_hashes(w, g)) if len(w) else w for w, g in zip(self.words, self.length.tolist(), strict=True)]
-        gram = np.concatenate([np.zeros(0, np.uint64), *grams])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        self.grams = grams
+        shared, held_by = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_counts=True)
+        seeds = [self._rarest(w, g, need, shared, held_by) for w, g, need in zip(self.words, self.length.tolist(), self.need.tolist(), strict=True)]
+        gram = np.concatenate([np.zeros(0, np.uint64), *seeds])
+        item = np.repeat(np.arange(len(seeds)), [len(g) for g in seeds])
         order = np.argsort(gram, kind="stable")
         self.gram, self.item = gram[order], item[order]
         self.mark = np.zeros(1 << MARK_BITS, bool)
         self.mark[self.gram >> np.uint64(64 - MARK_BITS)] = True
 
+    @staticmethod
+    def _rarest(words: np.ndarray, n: int, need: int, shared: np.ndarray, held_by: np.ndarray) -> np.ndarray:
+        """The rarest grams of an item, so many that fewer than `need` of its places are without one."""
+        if not len(words):
+            return words
+        grams, places = np.unique(gram_hashes(words, n), return_counts=True)
+        order = np.argsort(held_by[np.searchsorted(shared, grams)], kind="stable")
+        covered = np.cumsum(places[order])
+        return grams[order[:int(np.searchsorted(covered, covered[-1] - need + 1)) + 1]]
+
     def places(self, numbers: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, first, end) of all stretches that can hold an item, overlapping ones joined.
 
@@ -125,11 +147,11 @@ class Items:
         out, shift = [], np.uint64(64 - MARK_BITS)
         for n in sorted(set(self.length[self.length > 0].tolist())):
             grams = gram_hashes(numbers, n)
-            inside = self.mark[grams >> shift]
+            one = np.ones(len(grams), bool)
             for back in range(1, n):  # grams of two documents
                 cut = starts[1:-1] - back
-                inside[cut[(cut >= 0) & (cut < len(inside))]] = False
-            at = np.flatnonzero(inside)
+                one[cut[(cut >= 0) & (cut < len(one))]] = False
+            at = np.flatnonzero(self.mark[grams >> shift] & one)
             left = np.searchsorted(self.gram, grams[at])
             many = np.searchsorted(self.gram, grams[at], side="right") - left
             if many.sum() > HITS and len(starts) > 2:
@@ -139,14 +161,26 @@ class Items:
                     out += [(row + first, i, lo + base, hi + base) for row, i, lo, hi in self.places(numbers[base:part[-1]], part - base)]
                 return out
             seed = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
-            out += self._stretches(self.item[seed], np.repeat(at, many), n, starts)
+            item, row = self.item[seed], np.searchsorted(starts, np.repeat(at, many), side="right") - 1
+            own = self.length[item] == n
+            pairs = np.unique(item[own] * len(starts) + row[own])
+            hits = [self._hits(i, rows, grams, one, starts) for i, rows in _grouped(pairs // len(starts), pairs % len(starts))]
+            if hits:
+                out += self._stretches(np.repeat([i for i, _ in hits], [len(x) for _, x in hits]), np.concatenate([x for _, x in hits]), n, starts)
         return out
 
+    def _hits(self, item: int, rows: np.ndarray, grams: np.ndarray, one: np.ndarray, starts: np.ndarray) -> tuple[int, np.ndarray]:
+        """The item and the places of all its grams in the given documents."""
+        spans = [np.arange(starts[r], min(starts[r + 1], len(grams))) for r in rows.tolist()]
+        x = np.concatenate(spans)
+        own = self.grams[item]
+        near = np.minimum(np.searchsorted(own, grams[x]), len(own) - 1)
+        return item, x[(own[near] == grams[x]) & one[x]]
+
     def _stretches(self, item: np.ndarray, x: np.ndarray, n: int, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """The stretches with as many different hits (item, x) as each item of gram length `n` needs."""
-        own = self.length[item] == n
+        """The stretches with as many different hits (item, x) as each item, all of gram length `n`, needs."""
         stride = int(starts[-1]) + 1
-        key = np.sort(item[own] * stride + x[own])
+        key = np.sort(item * stride + x)
         item, x = key // stride, key % stride
         last = np.arange(len(key)) + self.need[item] - 1
         at = np.flatnonzero(last < len(key))
