@@ -135,23 +135,47 @@ def ranked(ids: Column) -> Column:
     return F.transform(ids, lambda item, n: F.struct(item.alias("movie_id"), (n + 1).cast("int").alias("rank")))
 
 
-_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
-_QUOTED_LIST = rf"^\[\s*(?:(?:{_QUOTED})\s*(?:,\s*(?:{_QUOTED})\s*)*,?\s*)?\]\z"
-_OTHER_LITERALS = r"^\[\s*(?:[+-]?[0-9.]+|None|True|False)\s*(?:,\s*(?:[+-]?[0-9.]+|None|True|False)\s*)*,?\s*\]\z"
+# Literals as a list of them may hold: strings within a line, numbers without leading zeros, and the three names.
+_QUOTED = r"""'(?:[^'\\\n]++|\\[\s\S])*+'|"(?:[^"\\\n]++|\\[\s\S])*+\""""
+_DIGITS = "[0-9](?:_?[0-9])*+"
+_NUMBER = rf"[+-]?(?:0[xX](?:_?[0-9a-fA-F])++|0[oO](?:_?[0-7])++|0[bB](?:_?[01])++|(?:{_DIGITS}\.(?:{_DIGITS})?|\.{_DIGITS}|{_DIGITS}(?=[eEjJ]))(?:[eE][+-]?{_DIGITS})?[jJ]?|0(?:_?0)*+|[1-9](?:_?[0-9])*+)"
+_STRING = rf"[uU]?(?:{_QUOTED})"
+_ATOM = rf"(?:[bBrRuU]{{0,2}}(?:{_QUOTED})|{_NUMBER}|None|True|False)"
+_QUOTED_LIST = rf"^\[\s*(?:{_STRING}\s*(?:,\s*{_STRING}\s*)*+,?\s*)?\]\z"
+_LITERAL_LIST = rf"^\[\s*(?:{_ATOM}\s*(?:,\s*{_ATOM}\s*)*+,?\s*)?\]\z"
+_STRETCH = r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|[\s\S])|[^\\]+"
+_SHORT = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "'": "'", '"': '"', "\\": "\\", "\n": ""}
+
+
+def _unescape(item: Column) -> Column:
+    """The string that a quoted literal stands for: escapes by kind, an unknown one stays as it is."""
+    sign = lambda number: F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+
+    def stretch(part: Column) -> Column:
+        rest = F.substring(part, F.lit(2), F.length(part))
+        coded, octal = part.rlike(r"^\\[xuU]."), part.rlike(r"^\\[0-7]")
+        plain = F.when(~part.startswith("\\"), part)
+        for name, value in _SHORT.items():
+            plain = plain.when(rest == name, value)
+        return plain.when(coded, sign(F.substring(rest, F.lit(2), F.length(rest)))).when(octal, sign(F.conv(rest, 8, 16))).otherwise(part)
+
+    inner = F.substring(item, F.lit(2), F.length(item) - 2)
+    return F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(f"({_STRETCH})"), 1), stretch), "")
 
 
 def parse_slate(text: Column) -> Column:
-    """`a,b`, `[a,b]` or a quoted list to struct(items, error); one bad id spoils the slate."""
+    """`a,b`, `[a,b]` or a quoted list to struct(items, error); one bad id spoils the slate.
+
+    A bracketed text that reads as a list of literals has to hold strings alone; any other bracketed text is a plain list.
+    """
     quoted = text.rlike(_QUOTED_LIST)
-    literal = F.transform(F.regexp_extract_all(text, F.lit(f"({_QUOTED})"), 1),
-                          lambda item: F.regexp_replace(F.substring(item, F.lit(2), F.length(item) - 2), r"\\(.)", "$1"))
+    literal = F.transform(F.regexp_extract_all(text, F.lit(f"({_QUOTED})"), 1), _unescape)
     bare = F.when(text.startswith("[") & text.endswith("]") & (F.length(text) >= 2),
                   strip(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
     listed = F.when(bare == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.split(bare, ","), strip))
     ids = F.when(quoted, literal).otherwise(listed)
-    literal_like = text.rlike(r"""^\[\s*[A-Za-z]{0,2}['"]""") & ~quoted
-    bad = text.rlike(_OTHER_LITERALS) | literal_like | ~F.forall(ids, lambda item: item.rlike(fmt.MOVIE_ID))
+    bad = (text.rlike(_LITERAL_LIST) & ~quoted) | ~F.forall(ids, lambda item: item.rlike(fmt.MOVIE_ID))
     return F.struct(F.when(~bad, ranked(ids)).alias("items"),
                     F.when(bad, "InvalidRecommendationResult").alias("error"))
 
@@ -198,7 +222,8 @@ def with_body(df: DataFrame, body: str = "body") -> DataFrame:
     })
     listed = parts.withColumn("_listed", F.when(column("_status") == 200, parse_slate(column("_result"))))
     malformed = (F.when(column("_took").isNull() | (column("_server") == ""), "InvalidRecommendationEvent")
-                 .when(~column("_status").between(100, 599), "InvalidRecommendationStatus"))
+                 .when(~column("_status").between(100, 599), "InvalidRecommendationStatus")
+                 .when(response_ms(column("_took")) == float("inf"), "InvalidResponseTime"))
     checked = listed.withColumn("_malformed", F.when(column("_slate"), malformed))
     error = (F.when(column("movie_id").isNotNull() & ~column("movie_id").rlike(fmt.MOVIE_ID), "InvalidMovieID")
              .when(column("_watch"), F.when(column("_minute").isNull() | (column("_minute") < 0), "InvalidWatchMinute"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as s
-from slatewise.functions.parse import (query_map, response_ms, split_envelope, strip, user_id_from_text, with_body,
+from slatewise.functions.parse import (query_map, parse_slate, response_ms, split_envelope, strip, user_id_from_text, with_body,
                                        with_event_time)
 from slatewise.operators.intervals import time_bucket
 from slatewise.operators.quality import tally
@@ -61,6 +61,24 @@ def slate_ranks(spark, directory):
         "offset", F.col("r.rank").cast("bigint").alias("rank"), "r.movie_id")
 
 
+#: Slates around a customer's number ({n}), and the ids they hold; None where they are invalid.
+_SLATES = {
+    "['{n}', 'b']": "{n}|b", '["{n}", b]': '"{n}"|b', "[{n}x, b]": "{n}x|b", r"['a\x41{n}', 'b']": "aA{n}|b", r"['a\n{n}']": None, r"['a\'{n}']": "a'{n}",
+    "[1{n}, 'a']": None, "[None, '{n}']": None, "[1{n}.5e3]": None, "[0{n}, b]": "0{n}|b", "[u'{n}']": "{n}", "[b'{n}']": None, "{n},b": "{n}|b", "['{n}',]": "{n}",
+}
+_text = lambda value: "null" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query(" union all ".join(f"select c_custkey, {n} as number, replace({_text(ids)}, '{{n}}', cast(c_custkey + 1 as varchar)) as ids from customer" for n, ids in enumerate(_SLATES.values())))
+def slate_cases(spark, directory):
+    """Slates as lists of literals of many kinds: strings with escapes, numbers, names, prefixes, and lists that only look like them."""
+    cases = F.explode(F.array(*[F.struct(F.lit(n).alias("number"), F.lit(text).alias("text")) for n, text in enumerate(_SLATES)]))
+    rows = i.table(spark, directory, "customer").select("c_custkey", cases.alias("case"))
+    slate = parse_slate(F.replace("case.text", F.lit("{n}"), (F.col("c_custkey") + 1).cast("string")))
+    return rows.select("c_custkey", F.col("case.number").alias("number"), slate.alias("slate")).select(
+        "c_custkey", "number", F.array_join(F.transform("slate.items", lambda item: item["movie_id"]), "|").alias("ids"))
+
+
 @query(f"""with {i.LOG}
 select "offset", case "offset" % 4 when 0 then round(n * 0.001e0, 6) when 1 then n * 1e0 when 2 then n * 1000e0 end as ms
 from log where source_type = 'click'""")

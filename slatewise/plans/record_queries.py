@@ -39,6 +39,9 @@ _AWKWARD = {
     "GET /x?api%5Fkey={n}&y=2": "GET /x?api%5Fkey=[redacted]&y=2",
     "GET /go?next=https%3A%2F%2Fh%2F%3Fpassword%3D{n}&y=2": "GET /go?next=https%3A%2F%2Fh%2F%3Fpassword%3D[redacted]&y=2",
     "input_tokens: 5, name: {n}": "input_tokens: 5, name: {n}",
+    'x {"secret": {"a": {"c": 1}, "b": "{n}"}} y': 'x {"secret": "[redacted]"} y',
+    "my_token: [a, [b, c], {n}], z: 1": 'my_token: "[redacted]", z: 1',
+    'password: {"a": "}", "b": [{n}, {]} z': 'password: "[redacted]"',
 }
 
 

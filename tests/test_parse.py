@@ -91,10 +91,18 @@ def test_times(spark, zone, text, expected):
 
 
 def test_literals_of_slates(spark):
-    """Escapes are undone; anything that starts like a literal and is no plain list of strings is invalid."""
+    """Escapes are undone by kind; a list of literals has to hold strings alone, any other bracketed text is a plain list."""
     from slatewise.functions.parse import parse_slate
-    texts = [r"['a\-b', 'c']", r"""['it\'s','x']""", "[b'a']", "['a', 3]", "['a', 'b']", 'a,b']
-    rows = spark.createDataFrame(list(enumerate(texts)), "n int, v string").select("n", parse_slate(F.col("v")).alias("x")).orderBy("n").collect()
-    found = [[i.movie_id for i in r.x["items"]] if r.x["items"] is not None else r.x.error for r in rows]
     bad = "InvalidRecommendationResult"
-    assert found[0] == ["a-b", "c"] and found[1] in (["it's", "x"], bad) and found[2:] == [bad, bad, ["a", "b"], ["a", "b"]]
+    cases = [(r"['a\-b', 'c']", ["a\\-b", "c"]), (r"""['it\'s',"x"]""", ["it's", "x"]), ("[b'a']", bad), ("['a', 3]", bad), ("['a', 'b',]", ["a", "b"]), ("a,b", ["a", "b"]),
+             (r"['a\nb','c']", bad), (r"['\x41','\u0042\103']", ["A", "BC"]), ("[1,'a']", bad), ("[None,'a']", bad), ("[1.5e3]", bad), ('["a", b]', ['"a"', "b"]),
+             ("[007, 8x]", ["007", "8x"]), ("[0x1F]", bad), ("[12, -3]", bad), ("[u'a']", ["a"]), ("[]", []), ("[ ]", []), ("['a' b]", bad), ("['a", ["['a"] and bad)]
+    rows = spark.createDataFrame([(n, text) for n, (text, _) in enumerate(cases)], "n int, v string").select("n", parse_slate(F.col("v")).alias("x")).orderBy("n").collect()
+    found = [[i.movie_id for i in r.x["items"]] if r.x["items"] is not None else r.x.error for r in rows]
+    assert found == [want for _, want in cases]
+
+
+def test_endless_response_time(spark):
+    line = b"2026-01-01T00:00:00Z,5,recommendation request s, status 200, result: a, " + b"9" * 400 + b" s"
+    row = parse_events(spark.createDataFrame([(line,)], "value binary")).first()
+    assert (row.parse_status, row.error_type, row.fields.response_time_ms, row.fields.recommendations) == ("failed", "InvalidResponseTime", None, None)
