@@ -159,14 +159,19 @@ def arm_moments(users: DataFrame) -> DataFrame:
 
 
 def compare_arms(users: DataFrame) -> DataFrame:
-    """(metric, difference, ci_low, ci_high, p_value, status, ...): Welch tests from two moments per arm.
+    """(metric, difference, ci_low, ci_high, p_value, status, ...): Welch tests from two moments per arm, the difference of the
+    pooled fee per viewing unit (a description, null where a fee is unknown), and whether both arms have users.
 
     Only a few numbers per arm reach the driver.
     """
     spark = users.sparkSession
     moments = {(r.metric, r.arm): (r.n, r.mean, r.variance or 0.0) for r in arm_moments(users).collect()}
     gaps = users.agg(F.count_if(F.col("covered_units") != F.col("observed_units")).alias("n")).first().n
-    sizes = {r.arm: r.n for r in users.groupBy("arm").agg(F.count(F.lit(1)).alias("n")).collect()}
+    units, covered = F.sum("observed_units"), F.sum("covered_units")
+    arms = {r.arm: r for r in users.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("n"), F.when(covered == units, ratio(F.sum("known_spend").cast("double"), units)).alias("fee")).collect()}
+    sizes = {arm: r.n for arm, r in arms.items()}
+    fees = [arms[arm].fee if arm in arms else None for arm in ARMS]
     empty = (0, None, 0.0)
     rows = []
     for metric in ("spend_per_user_with_complete_fees", "mean_rating_per_rater"):
@@ -180,6 +185,9 @@ def compare_arms(users: DataFrame) -> DataFrame:
         "control_users": sizes.get("control", 0), "treatment_users": sizes.get("treatment", 0), "difference": None,
         "ci_low": None, "ci_high": None, "p_value": balance_p_value(sizes.get("treatment", 0), total),
         "status": "estimated" if total else "insufficient_users"}))
+    counts = {f"{arm}_users": sizes.get(arm, 0) for arm in ARMS} | dict.fromkeys(("difference", "ci_low", "ci_high", "p_value"))
+    rows.append(("mean_fee_per_observed_unit", counts | {"difference": None if None in fees else fees[1] - fees[0], "status": "descriptive"}))
+    rows.append(("users_in_both_arms", counts | {"status": "yes" if all(sizes.get(arm, 0) for arm in ARMS) else "no"}))
     fields = ("control_users", "treatment_users", "difference", "ci_low", "ci_high", "p_value", "status")
     return spark.createDataFrame(
         [(name, *[row[f] for f in fields]) for name, row in rows],

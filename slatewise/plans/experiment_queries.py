@@ -151,11 +151,14 @@ tested as (select m.metric, n0 as control_users, n1 as treatment_users, m1 - m0
 gaps as (select count(*) filter (covered_units <> observed_units) as missing from people),
 spend as (select 'spend_per_assigned_user' as metric, t.* exclude (metric) from tested t where metric = 'spend_per_user_with_complete_fees'),
 arms as (select count(*) filter (arm = 'control') as n0, count(*) filter (arm = 'treatment') as n1, count(*) as n from people),
+pooled as (select arm, case when sum(covered_units) = sum(observed_units) then cast(sum(known_spend) as double) / nullif(sum(observed_units), 0) end as fee from people group by 1),
 tail as (select 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) as p from (select n, unnest(range(0, least(n0, n1) + 1)) as k from arms)),
 compared as (select * from tested
   union all select metric, control_users, treatment_users, case when missing = 0 then difference end, case when missing = 0 then ci_low end, case when missing = 0 then ci_high end,
     case when missing = 0 then p_value end, case when missing = 0 then status else 'unknown_missing_fees' end from spend, gaps
-  union all select 'assignment_balance', n0, n1, null, null, null, case when n0 = n1 then 1 else least(p, 1) end, 'estimated' from arms, tail)
+  union all select 'assignment_balance', n0, n1, null, null, null, case when n0 = n1 then 1 else least(p, 1) end, 'estimated' from arms, tail
+  union all select 'mean_fee_per_observed_unit', n0, n1, (select t.fee - c.fee from pooled c, pooled t where c.arm = 'control' and t.arm = 'treatment'), null, null, null, 'descriptive' from arms
+  union all select 'users_in_both_arms', n0, n1, null, null, null, null, case when n0 > 0 and n1 > 0 then 'yes' else 'no' end from arms)
 """
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from slatewise.functions import redact as rd
 from slatewise.functions import scalars as s
 from slatewise.operators import lineage as li
+from slatewise.operators.interactions import cold_start_users
 from slatewise.plans import inputs as i
 from slatewise.plans.registry import query
+from slatewise.session import fresh_path, written
 from slatewise.sources import records as rc
+from slatewise.sources import tables
 from slatewise.sources.stream import append_new, with_fingerprint
 
 
@@ -277,13 +280,18 @@ def _counts(names):
     return " union all ".join(f"select '{n}' as \"table\", count(*) as rows from {n}" for n in names)
 
 
-SAMPLE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+SAMPLE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+                 "benchmark", "labels", "conversations")
 
 
-@query(_counts(SAMPLE_TABLES))
+@query(f"select *, true as same_contents from ({_counts(SAMPLE_TABLES)}) t")
 def manifest_rows(spark, directory):
-    """Row counts of the manifest of all tables."""
-    return rc.snapshot_manifest({n: i.table(spark, directory, n) for n in SAMPLE_TABLES}).select("table", "rows")
+    """Row counts of the manifest of all tables, and whether a stored copy in another order and partitioning has the same digest."""
+    given = {n: i.table(spark, directory, n) for n in SAMPLE_TABLES}
+    copies = {n: written(t.repartition(3, t.columns[-1]), "copy") for n, t in given.items()}
+    first, second = rc.snapshot_manifest(given), rc.snapshot_manifest(copies)
+    wrong = rc.manifest_mismatches(first, second).withColumn("_wrong", F.lit(True))
+    return first.join(wrong, "table", "left").select("table", "rows", F.col("_wrong").isNull().alias("same_contents"))
 
 
 @query("""with t as (select sha256('{"n_name":"' || n_name || '","n_nationkey":' || cast(n_nationkey as varchar) || ',"n_regionkey":' || cast(n_regionkey as varchar) || '}') as h from nation)
@@ -293,16 +301,52 @@ def nation_digest(spark, directory):
     return rc.row_digest(i.table(spark, directory, "nation"))
 
 
-@query("select 'lineitem' as \"table\"")
+@query("select unnest(['embeddings', 'lineitem']) as \"table\"")
 def manifest_differences(spark, directory):
-    """Tables whose contents changed: one line item quantity is edited."""
-    names = ("orders", "lineitem", "customer")
-    before = {n: i.table(spark, directory, n) for n in names}
-    edited = before["lineitem"].withColumn("l_quantity", F.when(F.col("l_orderkey") == 7, 0.0).otherwise(F.col("l_quantity")))
-    return rc.manifest_mismatches(rc.snapshot_manifest(before), rc.snapshot_manifest({**before, "lineitem": edited}))
+    """Tables whose contents changed, of all: one line item quantity and one component of a vector are edited."""
+    before = {n: i.table(spark, directory, n) for n in SAMPLE_TABLES}
+    lines = before["lineitem"].withColumn("l_quantity", F.when(F.col("l_orderkey") == 7, 0.0).otherwise(F.col("l_quantity")))
+    nudged = F.transform("embedding", lambda x, n: F.when((n == 5) & (F.col("vec_id") == 3), x + F.lit(0.5).cast("float")).otherwise(x))
+    vectors = before["embeddings"].withColumn("embedding", nudged)
+    return rc.manifest_mismatches(rc.snapshot_manifest(before), rc.snapshot_manifest({**before, "lineitem": lines, "embeddings": vectors}))
 
 
 @query(f"""with {i.LOG} select "partition", count(*) as n from log where parse_status = 'failed' group by 1""")
 def failed_lines(spark, directory):
     """Failed lines per partition."""
     return i.parsed(spark, directory).where("parse_status = 'failed'").groupBy(F.col("partition").cast("bigint").alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- text tables, prepared tables and JSON lines, written below the shared folder and read again ----------------
+
+@query(f"""with {i.HISTORY} select user_id, movie_id, event_type, rating, epoch_us(cast("timestamp" as timestamp)) as us from history""")
+def text_tables(spark, directory):
+    """Watch and rating history as compressed text tables with blanks, read back typed."""
+    path = fresh_path(spark, "text")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    save = lambda df, name: df.write.option("header", True).option("compression", "gzip").option("emptyValue", "").csv(f"{path}/{name}.csv.gz")
+    save(i.history(spark, directory).select(*map(text, ("timestamp", "user_id", "event_type", "movie_id", "rating"))), "events")
+    save(i.users(spark, directory).select(*map(text, ("user_id", "self_description_likes", "self_description_dislikes"))), "users")
+    titles = i.table(spark, directory, "part").select(F.col("p_partkey").alias("movie_id"), F.col("p_name").alias("title"), *[F.lit("").alias(c) for c in ("genres", "overview", "runtime", "license_cost")])
+    save(titles.select(*map(text, titles.columns)), "movies")
+    events, users, movies = tables.read_course_tables(spark, path)
+    typed = tables.typed_events(events).join(tables.typed_users(users).select("user_id"), "user_id", "left_semi").join(movies.select("movie_id"), "movie_id", "left_semi")
+    return typed.select("user_id", "movie_id", "event_type", "rating", F.unix_micros("timestamp").alias("us"))
+
+
+@query(f"with {i.PAIRS} select user_id, movie_id, watch_count, rating from pairs")
+def prepared_pairs(spark, directory):
+    """Interactions as the prepared table holds them."""
+    path = fresh_path(spark, "prepared")
+    events, users, movies = i.history(spark, directory), i.users(spark, directory), i.movies(spark, directory)
+    pairs = i.pairs(spark, directory)
+    tables.write_prepared(pairs, cold_start_users(users, events), events, users, movies, path)
+    return spark.read.parquet(f"{path}/interactions").select("user_id", "movie_id", "watch_count", "rating")
+
+
+@query("select conv_id, turn, role, text from conversations")
+def json_lines(spark, directory):
+    """Whole conversations through compressed JSON lines, with any text and explicit nulls."""
+    path, rows = fresh_path(spark, "lines"), i.table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    tables.write_jsonl(rows, path)
+    return tables.read_jsonl(spark, path, "conv_id bigint, turn bigint, role string, text string")
