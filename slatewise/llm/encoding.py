@@ -1,7 +1,7 @@
 """Exact token ids of whole texts through the tokenizers library, each distinct word encoded once per process.
 
 A space or line break between two plain signs always ends a pre-token, so what stands on either side encodes alone to
-the same ids. Such units are looked up in a bounded table of two generations; what is new goes to the library, each once for a batch of texts. Texts in which white space
+the same ids. Such units are looked up in a bounded table; what is new goes to the library. Texts in which white space
 is not of that simple kind are cut only where it is, and texts that hold a special string are encoded in one piece.
 """
 
@@ -33,7 +33,7 @@ class Encoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.passed = 0
         self.tails: dict[str, bytes] = {"": b""}
         self.model = self.library.model
         self.form = self._form()
@@ -55,33 +55,31 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, names: set[str]) -> list[str]:
-        """Enter units into the table; returns those that are no units. '\\n\\n' is a line break, '\\nword' begins a line, any other follows a space.
+    def _learn(self, names: list[str]) -> dict[str, bytes]:
+        """Ids of units: '\\n\\n' is a line break, '\\nword' begins a line, any other follows a space.
 
-        Plain words go straight to the library's model, each once, whatever marks follow it; the rest goes through the whole library in long strings, held
+        Plain words go straight to the library's model; the rest goes through the whole library in long strings, held
         apart by a special string that none of them contains.
         """
-        rest, odd, words, units = [], [], {}, self.units
-        tokenize, tails, form, simple, older = self.model.tokenize, self.tails, self.form, _SIMPLE.fullmatch, self.older.get
+        made, rest = {}, []
+        tokenize, tails, form = self.model.tokenize, self.tails, self.form
         for u in names:
-            ids = older(u)
-            if ids is None:
-                plain = simple(u) if form else None
-                if plain is None:
-                    (rest if _UNIT.fullmatch(u) else odd).append(u)
-                    continue
-                lead, word, tail = plain.groups()
-                name = form(word, not lead)
-                ids = words.get(name)
-                if ids is None:
-                    words[name] = ids = array("I", [t.id for t in tokenize(name)]).tobytes()
-                if tail:
-                    if tail not in tails:
-                        tails[tail] = self._ids([tail])[0]
-                    ids += tails[tail]
-            units[u] = ids
-        units.update(zip(rest, self._through(rest), strict=True))
-        return odd
+            plain = _SIMPLE.fullmatch(u) if form else None
+            if plain is None:
+                rest.append(u)
+                continue
+            lead, word, tail = plain.groups()
+            if tail not in tails:
+                tails[tail] = self._ids([tail])[0]
+            made[u] = array("I", [t.id for t in tokenize(form(word, not lead))]).tobytes() + tails[tail]
+        made.update(zip(rest, self._through(rest), strict=True))
+        self.passed += len(made)
+        if self.passed > 5 * MOST_UNITS:
+            self.units.clear()
+            self.passed = 0
+        if len(self.units) < MOST_UNITS:
+            self.units.update((u, b) for u, b in made.items() if len(u) <= LONGEST_UNIT and _UNIT.fullmatch(u))
+        return made
 
     def _through(self, names: list[str]) -> list[bytes]:
         texts = [u[1:] if u[0] == "\n" else " " + u for u in names]
@@ -100,28 +98,32 @@ class Encoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, whole, cut = [b""] * len(texts), [], {}
+        out, whole, open_rows, new = [b""] * len(texts), [], [], {}
+        get = self.units.get
         for row, text in enumerate(texts):
+            if not text:
+                continue
             if any(s in text for s in self.special):
                 whole.append(row)
-            elif text:
-                cut[row] = ("\n" + text.replace("\n", " \n\n \n")).split(" ")
-        if len(self.units) > MOST_UNITS // 2:
-            self.units, self.older = {}, self.units
-        new = set().union(*cut.values()).difference(self.units)
-        odd = set(self._learn(new))
-        if odd:
-            strange = {row: _careful(texts[row]) for row, units in cut.items() if not odd.isdisjoint(units)}
-            more = set().union(*strange.values()).difference(self.units)
-            new |= more
-            self.units.update(zip(more, self._through(list(more)), strict=True))
-            cut.update(strange)
-        known = self.units.__getitem__
-        for row, units in cut.items():
-            out[row] = b"".join(map(known, units))
-        for u in new:
-            if len(u) > LONGEST_UNIT:
-                self.units.pop(u, None)
+                continue
+            units = ("\n" + text.replace("\n", " \n\n \n")).split(" ")
+            parts = list(map(get, units))
+            if None in parts:
+                gaps = [i for i, part in enumerate(parts) if part is None]
+                if not all(_UNIT.fullmatch(units[i]) for i in gaps):
+                    units = _careful(text)
+                    parts = list(map(get, units))
+                    gaps = [i for i, part in enumerate(parts) if part is None]
+                names = [units[i] for i in gaps]
+                new.update(dict.fromkeys(names))
+                open_rows.append((row, parts, gaps, names))
+            else:
+                out[row] = b"".join(parts)
+        made = self._learn(list(new)) if new else {}
+        for row, parts, gaps, names in open_rows:
+            for i, name in zip(gaps, names, strict=True):
+                parts[i] = made[name]
+            out[row] = b"".join(parts)
         for row, ids in zip(whole, self._ids([texts[row] for row in whole]), strict=True) if whole else ():
             out[row] = ids
         return out
