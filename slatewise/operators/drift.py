@@ -122,28 +122,32 @@ def passes_against_itself(snapshot: DataFrame) -> bool:
     return drift_findings(snapshot, snapshot).limit(1).count() == 0
 
 
-def metadata_cohort(events: DataFrame, movies: DataFrame, size: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Fixed cohort: first users seen (by partition, newest offset first) and first movies by id."""
+def metadata_cohort(events: DataFrame, movies: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Users seen and movies whose metadata are to be profiled: all of them, or a fixed cohort of `size` each, the first users seen (by partition,
+    newest offset first) and the first movies by id."""
     users = (events.where("user_id is not null").groupBy("user_id")
-             .agg(F.min(F.struct(F.col("partition"), -F.col("offset"))).alias("_seen"))
-             .orderBy("_seen").limit(size).select("user_id"))
-    return users, movies.select("movie_id").distinct().orderBy("movie_id").limit(size)
+             .agg(F.min(F.struct(F.col("partition"), -F.col("offset"))).alias("_seen")))
+    ids = movies.select("movie_id").distinct()
+    if size is None:
+        return users.select("user_id"), ids
+    return users.orderBy("_seen").limit(size).select("user_id"), ids.orderBy("movie_id").limit(size)
 
 
 def quality_snapshot(events: DataFrame, requests: DataFrame, user_records: DataFrame, movie_records: DataFrame,
-                     start, end, limit: int = 5000, partitions: int = 1) -> DataFrame:
-    """Profile of all four sources from bounded tails of the window and the given metadata cohorts.
+                     start, end, limit: int | None = None, partitions: int = 1) -> DataFrame:
+    """Profile of all four sources over the whole window, or over bounded tails of `limit` events and requests, and the given metadata.
 
     events need partition, offset, ingested_at; requests need started_at and request_id.
     """
-    quota = max(1, limit // max(1, partitions))
-    tail = bounded_tail(events, "partition", "offset", quota).where(in_window(F.col("ingested_at"), start, end))
-    recent = requests.orderBy(F.col("started_at").desc(), F.col("request_id").desc()).limit(limit).where(
-        in_window(F.col("started_at"), start, end))
-    parts = [profile_events(tail), profile_requests(recent), profile_users(user_records), profile_movies(movie_records)]
+    tail, recent = events, requests
+    if limit is not None:
+        tail = bounded_tail(events, "partition", "offset", max(1, limit // max(1, partitions)))
+        recent = requests.orderBy(F.col("started_at").desc(), F.col("request_id").desc()).limit(limit)
+    parts = [profile_events(tail.where(in_window(F.col("ingested_at"), start, end))),
+             profile_requests(recent.where(in_window(F.col("started_at"), start, end))), profile_users(user_records), profile_movies(movie_records)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def tail_coverage(events: DataFrame, limit: int = 5000, partitions: int = 1) -> DataFrame:
+def tail_coverage(events: DataFrame, limit: int, partitions: int = 1) -> DataFrame:
+    """Per partition whether its newest `limit` (shared between partitions) rows leave some out."""
     return tail_bounds(events, "partition", "offset", max(1, limit // max(1, partitions)))
-

@@ -10,7 +10,7 @@ from slatewise.operators import cost, drift, online, retention
 from slatewise.operators import sessions as se
 from slatewise.operators.intervals import followed
 from slatewise.plans import inputs as i
-from slatewise.plans.registry import query
+from slatewise.plans.registry import ORACLES, query
 from slatewise.session import settle
 from slatewise.sources.records import load_fees, typed_fees
 
@@ -359,11 +359,14 @@ def drift_findings(spark, directory):
   ('description_present', case when c_custkey % 3 = 0 then 'False' else 'True' end)) f(feature, category) group by 2, 3""")
 def user_profile(spark, directory):
     """Feature histogram of user records."""
+    return drift.profile_users(_user_records(spark, directory))
+
+
+def _user_records(spark, directory):
     k = F.col("c_custkey")
     text = F.concat(F.lit('{"age":'), (k % 90).cast("string"), F.lit(',"self_description_likes":"'),
                     F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.lit('"}'))
-    rows = i.table(spark, directory, "customer").select(F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
-    return drift.profile_users(rows)
+    return i.table(spark, directory, "customer").select(F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
 
 
 @query("""select 'movie_api' as source, f.feature, f.category, count(*) as n from part, lateral (values ('schema', 'valid'),
@@ -371,9 +374,12 @@ def user_profile(spark, directory):
   ('genres', case when p_type < p_brand then p_type || '|' || p_brand else p_brand || '|' || p_type end)) f(feature, category) group by 2, 3""")
 def movie_profile(spark, directory):
     """Feature histogram of movie records."""
+    return drift.profile_movies(_movie_records(spark, directory))
+
+
+def _movie_records(spark, directory):
     text = F.to_json(F.struct(F.col("p_size").alias("runtime"), F.col("p_retailprice").alias("cost"), F.concat_ws("|", "p_type", "p_brand").alias("genres")))
-    rows = i.table(spark, directory, "part").select(F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
-    return drift.profile_movies(rows)
+    return i.table(spark, directory, "part").select(F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
 
 
 @query(f"""with {i.REQUESTS}, p as (select *, case when not coalesce(user_id > 0, false) then 'invalid_request_user' end as err from requests)
@@ -387,6 +393,42 @@ def request_profile(spark, directory):
     return drift.profile_requests(i.request_log(spark, directory))
 
 
+#: The first half of the log by ingestion and of the requests by their start, and all metadata.
+HALF = f"""snap as (select 'kafka' as source, feature, category, n from (with {i.LOG}, {PROFILES.replace("ts < timestamp '2024-01-16' as half", "ingested_at < timestamp '2024-01-16' as half")} select * from prof where half)
+  {"".join(f" union all select source, feature, category, n from ({sql})" for sql in (ORACLES["user_profile"], ORACLES["movie_profile"], ORACLES["request_profile"].replace("err from requests)", "err from requests where started_at < timestamp '2024-01-16')")))})"""
+
+
+def _snapshot(spark, directory):
+    return drift.quality_snapshot(i.parsed(spark, directory), i.request_log(spark, directory), _user_records(spark, directory), _movie_records(spark, directory),
+                                  "2000-01-01", "2024-01-16")
+
+
+@query(f"with {HALF} select source, feature, category, n from snap")
+def quality_snapshot(spark, directory):
+    """Profile of all four sources over one whole window: the log and the requests by their times, and all metadata."""
+    return _snapshot(spark, directory)
+
+
+@query(f"""with {HALF}, size as (select source, sum(n) as samples, coalesce(sum(n) filter (category = 'invalid'), 0) as invalid from snap where feature = 'schema' group by 1),
+known as (select s.source, coalesce(samples, 0) as samples, coalesce(invalid, 0) as invalid from (values ('kafka'), ('recommendation_api'), ('user_api'), ('movie_api')) s(source) left join size using (source))
+select source, case when samples < 50 then 'insufficient_samples' else 'schema_failure_rate' end as reason,
+  round(case when samples < 50 then samples else invalid / cast(samples as double) end, 6) as value from known where samples < 50 or invalid / cast(samples as double) > 0.1""")
+def snapshot_against_itself(spark, directory):
+    """What keeps a snapshot from becoming the reference: findings against itself, so too few samples or too many invalid rows."""
+    snapshot = settle(_snapshot(spark, directory))
+    return drift.drift_findings(snapshot, snapshot).select("source", "reason", F.round("value", 6).alias("value"))
+
+
+@query(f"""with {i.LOG}, s as (select "partition", count(*) as n, max("offset") as highest from log group by 1),
+r as (select "partition", "offset", row_number() over (partition by "partition" order by "offset" desc) as k from log)
+select "partition", n as rows_seen, least(n, 100) as rows_kept, n > 100 as tail_capped, (select min("offset") from r where r."partition" = s."partition" and k <= 100) as lowest, highest from s""")
+def tail_coverage(spark, directory):
+    """Whether a tail of 200 rows, shared by two partitions, leaves rows of a partition out, and which offsets it keeps."""
+    found = drift.tail_coverage(i.parsed(spark, directory), 200, 2)
+    return found.select(F.col("partition").cast("bigint").alias("partition"), "rows_seen", F.col("rows_kept").cast("bigint").alias("rows_kept"), "tail_capped",
+                        F.col("lowest_position").alias("lowest"), F.col("highest_position").alias("highest"))
+
+
 # --- attribution -----------------------------------------------------------------------------------------
 
 LINKS = i.REQUESTS + """,
