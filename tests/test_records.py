@@ -110,7 +110,7 @@ def test_cold_start(spark):
     seen = spark.createDataFrame([(1, "e")], "user_id long, movie_id string")
     top = coldstart.cold_start_rank(spark.createDataFrame(rows, schema), movies, pop, seen=seen, k=4)
     got = {u: [(r.movie_id, r.reason) for r in top.where(F.col("user_id") == u).orderBy("rank").collect()] for u in (1, 2)}
-    assert got[1] == [("c", "Matches preferred genres: Drama.")]
+    assert got[1] == [("c", "Genres you asked for: Drama.")]
     assert [m for m, _ in got[2]] == ["d", "a", "e", "b"]  # nothing personal: popularity, then id
     weights = spark.createDataFrame([("a", "b", 0.4), ("a", "c", 0.8), ("a", "d", -0.5), ("d", "c", 0.8)], "src_movie string, dst_movie string, weight float")
     ex = lambda rows: spark.createDataFrame(rows, "user_id long, movie_id string")
