@@ -16,14 +16,17 @@ PROFILE = ("source", "feature", "category", "n")
 
 
 def _long(source: str, df: DataFrame, error: Column, features: dict[str, Column]) -> DataFrame:
-    """Rows to (source, feature, category, n): one explode, one map-side combined count."""
-    staged = df.withColumn("_error", error)
+    """Rows to (source, feature, category, n): one explode, one map-side combined count.
+
+    Error and features are columns of their own before the explode, which would compute them again for each mention, and the outer
+    form keeps the optimizer from repeating them all in a derived filter.
+    """
+    staged = df.select(error.alias("_error"), *[c.alias(f"_{n}") for n, c in features.items()])
     bad = F.col("_error").isNotNull()
     pair = lambda name, value: F.struct(F.lit(name).alias("feature"), value.alias("category"))
-    good_pairs = F.filter(F.array(pair("schema", F.lit("valid")), *[pair(n, c) for n, c in features.items()]),
-                          lambda p: p["category"].isNotNull())
-    bad_pairs = F.array(pair("schema", F.lit("invalid")), pair("error", F.col("_error")))
-    return (staged.select(F.explode(F.when(bad, bad_pairs).otherwise(good_pairs)).alias("p"))
+    pairs = F.array(pair("schema", F.when(bad, "invalid").otherwise("valid")), pair("error", F.col("_error")),
+                    *[pair(n, F.when(~bad, F.col(f"_{n}"))) for n in features])
+    return (staged.select(F.explode_outer(pairs).alias("p")).where("p.category is not null")
             .groupBy("p.feature", "p.category").agg(F.count(F.lit(1)).alias("n"))
             .select(F.lit(source).alias("source"), "feature", "category", "n"))
 

@@ -61,12 +61,14 @@ def envelopes(events: DataFrame) -> DataFrame:
         (F.col("ts") + F.expr("interval 2 seconds")).alias("ingested_at"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all cores, where a small file would be read by a few tasks; for work that costs much per row."""
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.isStreaming or df.rdd.getNumPartitions() < tasks else df
+
+
 def log_lines(spark: SparkSession, directory: str) -> DataFrame:
-    events = table(spark, directory, "events")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:  # a sample file is one split; parsing should use every core
-        events = events.repartition(cores)
-    return envelopes(events)
+    return envelopes(spread(table(spark, directory, "events")))
 
 
 def parsed_lines(spark: SparkSession, directory: str) -> DataFrame:
@@ -207,7 +209,7 @@ def fees(spark: SparkSession, directory: str) -> DataFrame:
 
 def request_log(spark: SparkSession, directory: str) -> DataFrame:
     """API requests behind the recommendation lines: a little earlier, every 13th twice, every 17th lost."""
-    clicks = line_text(table(spark, directory, "events")).where("event_type = 'click'")
+    clicks = line_text(spread(table(spark, directory, "events").where("event_type = 'click'")))
     ids = F.transform(F.sequence(F.lit(0), F.when(F.col("k") % 7 == 1, 9).otherwise(19)),
                       lambda i: ((F.col("k") + i) % 100).cast("string"))
     copies = F.explode(F.sequence(F.lit(1), (F.when(F.col("event_id") % 17 == 0, 0).when(F.col("event_id") % 13 == 0, 2).otherwise(1)))).alias("copy")

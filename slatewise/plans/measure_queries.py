@@ -366,7 +366,8 @@ def _user_records(spark, directory):
     k = F.col("c_custkey")
     text = F.concat(F.lit('{"age":'), (k % 90).cast("string"), F.lit(',"self_description_likes":"'),
                     F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.lit('"}'))
-    return i.table(spark, directory, "customer").select(F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
+    return i.spread(i.table(spark, directory, "customer").select("c_custkey", "c_mktsegment")).select(
+        F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
 
 
 @query("""select 'movie_api' as source, f.feature, f.category, count(*) as n from part, lateral (values ('schema', 'valid'),
@@ -379,7 +380,8 @@ def movie_profile(spark, directory):
 
 def _movie_records(spark, directory):
     text = F.to_json(F.struct(F.col("p_size").alias("runtime"), F.col("p_retailprice").alias("cost"), F.concat_ws("|", "p_type", "p_brand").alias("genres")))
-    return i.table(spark, directory, "part").select(F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
+    return i.spread(i.table(spark, directory, "part").select("p_size", "p_retailprice", "p_type", "p_brand")).select(
+        F.try_parse_json(text).alias("record"), F.lit(None).cast("string").alias("fetch_error"))
 
 
 @query(f"""with {i.REQUESTS}, p as (select *, case when not coalesce(user_id > 0, false) then 'invalid_request_user' end as err from requests)

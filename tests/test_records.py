@@ -9,6 +9,7 @@ from slatewise.functions import scalars as s
 from slatewise.operators import coldstart, retention
 from slatewise.operators import text as tx
 from slatewise.operators.quality import DataError
+from slatewise.plans import inputs
 from slatewise.sources import records as rc
 from slatewise.sources import tables
 
@@ -129,3 +130,36 @@ def test_profiles(spark):
     p = rows.select(s.profile_from_answers(F.col("answers"), F.lit("x"), F.lit("y")).alias("p"))
     row = p.select("p.*", s.profile_error(F.col("p"), ["A", "B"]).alias("ok"), s.profile_error(F.col("p"), ["A"]).alias("bad")).first()
     assert (row.liked_genres, row.excluded_genres, row.likes_summary, row.ok, row.bad) == (["A"], ["B"], "x", None, "unknown_excluded_genres")
+
+
+def test_redaction_skips_only_texts_without_a_hint(spark):
+    """Texts that hold no hint stay as they are; names that no sign follows are no assignment, and all others are masked as before."""
+    plain = ["", None, "token", "the token of the session was lost, a secret = kept", "x" * 50_000, "p%61ssword: a", "my.pass-word: a", "a:b session :c", "COOKIE: x", "ftp://u@h"]
+    found = column(spark, plain, rd.redact_text)
+    assert found[:3] == plain[:3] and found[4] == plain[4] and found[9] == plain[9]
+    assert found[3] == 'the token of the session was lost, a secret = "[redacted]"'
+    assert found[5:9] == ['p%61ssword: "[redacted]"', 'my.pass-word: "[redacted]"', 'a:b session :"[redacted]"', "COOKIE: [redacted]"]
+
+
+def test_a_movie_of_two_names_meets_a_user_once(spark):
+    profiles = spark.createDataFrame([(1, ["The A", "B"]), (2, ["a", "A!"]), (3, [None])], "user_id long, titles array<string>")
+    movies = spark.createDataFrame([("m", "A"), ("m", "B"), ("n", "a (1999)"), ("n", "a (1999)"), ("o", None), (None, "b")], "movie_id string, title string")
+    found = sorted((r.user_id, r.movie_id or "") for r in tx.match_titles(profiles, "titles", movies).collect())
+    assert found == [(1, ""), (1, "m"), (1, "n"), (2, "m"), (2, "n")]
+
+
+def test_small_files_are_dealt_over_the_cores(spark, tmp_path):
+    """A file of one split is worked on by every core, in batch and in a stream."""
+    spark.range(64).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+    assert rows.rdd.getNumPartitions() == 1
+    used = inputs.spread(rows).select("id", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.id for r in used) == list(range(64)) and len({r.p for r in used}) >= spark.sparkContext.defaultParallelism
+
+
+def test_metadata_is_read_once_for_each_mention(spark):
+    """`once` computes its value a single time, and numbers read as they did."""
+    calls = column(spark, ['{"a": 7}', '{"a": " "}', '{"a": -1}', '{"a": true}', '{"a": null}', "[1]", None],
+                   lambda v: meta.number(meta.field(F.try_parse_json(v), "a")), "string")
+    assert [(r.value, r.invalid) for r in calls] == [(7.0, False), (None, True), (None, True), (None, True), (None, False), (None, False), (None, False)]
+    assert column(spark, [3], lambda v: meta.once(v, lambda x: x * x + x), "long") == [12]
