@@ -177,3 +177,19 @@ def test_save_and_load(spark, data, tmp_path):
     assert key(loaded) == key(model) and loaded.regularization == 2.0
     checks = {r.check: r.passed for r in ease.candidate_checks(loaded, model, data[1], data[1]).collect()}
     assert len(checks) == 6 and all(checks.values())
+
+
+def test_pairs_of_small_owners_are_counted_without_tiles(spark, monkeypatch):
+    """Owners with few items are counted pair by pair, others by tiles, and both add up."""
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(o), int(m)) for o, m in zip(rng.integers(0, 30, 120), rng.integers(0, 40, 120))} | {(99, m) for m in range(40)})
+    members = spark.createDataFrame(rows, "owner long, idx int")
+    x = np.zeros((100, 40), int)
+    x[[o for o, _ in rows], [m for _, m in rows]] = 1
+    given = []
+    by_tiles = blocks._by_tiles
+    monkeypatch.setattr(blocks, "_by_tiles", lambda m, n, t: given.append({r.owner for r in m.collect()}) or by_tiles(m, n, t))
+    found = {(r.i, r.j): r.n for r in blocks.cooccurrence(members, 40, 8).collect()}
+    gram = x.T @ x
+    assert found == {(i, j): gram[i, j] for i in range(40) for j in range(i, 40) if gram[i, j]}
+    assert 99 in given[0] and len(given[0]) < 20
