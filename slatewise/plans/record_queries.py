@@ -21,7 +21,7 @@ from slatewise.sources.stream import append_new, with_fingerprint
 select doc_id, sha256(safe) as digest, safe <> text as redacted from d""")
 def redacted_documents(spark, directory):
     """Documents with secret assignments, headers and URL credentials masked."""
-    docs = rd.redact(i.table(spark, directory, "documents").select("doc_id", "text"), ["text"])
+    docs = rd.redact(i.spread(i.table(spark, directory, "documents").select("doc_id", "text")), ["text"])
     return docs.select("doc_id", F.sha2("text", 256).alias("digest"), "redacted")
 
 
@@ -52,7 +52,7 @@ _AWKWARD = {
 def redaction_cases(spark, directory):
     """Secrets in lists, nested records, open quotes, logins with two signs, and encoded names."""
     cases = F.explode(F.array(*[F.struct(F.lit(n).alias("number"), F.lit(text).alias("text")) for n, text in enumerate(_AWKWARD)]))
-    rows = i.table(spark, directory, "customer").select("c_custkey", "c_name", cases.alias("case"))
+    rows = i.spread(i.table(spark, directory, "customer").select("c_custkey", "c_name")).select("c_custkey", "c_name", cases.alias("case"))
     text = F.replace("case.text", F.lit("{n}"), F.translate("c_name", "#", "-"))
     return rows.select("c_custkey", F.col("case.number").alias("number"), rd.redact_text(rd.redact_json(text)).alias("safe"))
 
@@ -288,7 +288,7 @@ SAMPLE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 def manifest_rows(spark, directory):
     """Row counts of the manifest of all tables, and whether a stored copy in another order and partitioning has the same digest."""
     given = {n: i.table(spark, directory, n) for n in SAMPLE_TABLES}
-    copies = {n: written(t.repartition(3, t.columns[-1]), "copy") for n, t in given.items()}
+    copies = {n: written(t.repartition(*reversed(t.columns)), "copy") for n, t in given.items()}  # as many parts as the rows take
     first, second = rc.snapshot_manifest(given), rc.snapshot_manifest(copies)
     wrong = rc.manifest_mismatches(first, second).withColumn("_wrong", F.lit(True))
     return first.join(wrong, "table", "left").select("table", "rows", F.col("_wrong").isNull().alias("same_contents"))
