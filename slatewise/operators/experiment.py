@@ -14,6 +14,7 @@ from slatewise.functions.scalars import assigned_arm, in_window, ratio
 from slatewise.functions.statistics import balance_p_value, welch
 from slatewise.operators.cost import MONEY, price_units
 from slatewise.operators.quality import DataError, dedup_or_conflict, fingerprinted, reason_column
+from slatewise.session import written
 
 ARMS = ("control", "treatment")
 
@@ -165,6 +166,7 @@ def compare_arms(users: DataFrame) -> DataFrame:
     Only a few numbers per arm reach the driver.
     """
     spark = users.sparkSession
+    users = written(users.select("arm", "covered_units", "observed_units", "known_spend", "mean_rating"), "arms")  # read three times
     moments = {(r.metric, r.arm): (r.n, r.mean, r.variance or 0.0) for r in arm_moments(users).collect()}
     gaps = users.agg(F.count_if(F.col("covered_units") != F.col("observed_units")).alias("n")).first().n
     units, covered = F.sum("observed_units"), F.sum("covered_units")

@@ -11,7 +11,7 @@ from slatewise.operators.quality import dedup_or_conflict, fingerprinted, fresh,
 from slatewise.operators.split import split
 from slatewise.plans import inputs as i
 from slatewise.plans.registry import query
-from slatewise.session import settle
+from slatewise.session import settle, written
 from slatewise.streaming.project import live_interactions
 
 POPULAR = i.PAIRS + """,
@@ -52,7 +52,7 @@ open as (select u.user_id, p.movie_id, p.popularity, row_number() over (partitio
 select user_id, movie_id, cast(rank as bigint) as rank, round(popularity, 6) as popularity from open where rank <= 20""")
 def popular_unseen_top20(spark, directory):
     """Top 20 popular movies each user has not seen."""
-    pairs = settle(i.pairs(spark, directory))
+    pairs = written(i.pairs(spark, directory), "pairs")
     top = op.popular_unseen(i.users(spark, directory), pairs, op.popularity(pairs), 20)
     return _rounded(top, "popularity").withColumn("rank", F.col("rank").cast("bigint"))
 

@@ -12,7 +12,7 @@ from slatewise.operators.split import split
 from slatewise.plans import inputs as i
 from slatewise.plans.catalogue_queries import POPULAR
 from slatewise.plans.registry import query
-from slatewise.session import settle
+from slatewise.session import settle, written
 from slatewise.streaming.project import live_interactions
 
 STOP = ("a", "an", "and", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "the", "to", "with")
@@ -211,7 +211,7 @@ scored as (select *, gain / (select sum(1 / log2(g.i + 1)) from (select unnest(r
   (select count(distinct user_id) from held) - count(*) as users_without_relevant_ratings from scored""")
 def popularity_metrics(spark, directory):
     """Ranking metrics of the popularity baseline on the test part."""
-    parts = settle(split(i.pairs(spark, directory)))
+    parts = written(split(i.pairs(spark, directory)), "parts")
     train, held = parts.where("part <> 'test'"), parts.where("part = 'test'")
     movies = i.movies(spark, directory).select("movie_id").join(op.popularity(train), "movie_id", "left").select(
         "movie_id", F.coalesce("popularity", F.lit(0.0)).alias("popularity"))
