@@ -193,3 +193,55 @@ def test_pairs_of_small_owners_are_counted_without_tiles(spark, monkeypatch):
     gram = x.T @ x
     assert found == {(i, j): gram[i, j] for i in range(40) for j in range(i, 40) if gram[i, j]}
     assert 99 in given[0] and len(given[0]) < 20
+
+
+def test_large_models_are_scored_where_they_are_solved(spark, monkeypatch):
+    """Weights beyond the stored size are written nowhere, and slates, ties, penalties, summaries and replays stay the same."""
+    rng = np.random.default_rng(8)
+    full = sorted({(int(u), f"m{int(m):02d}") for u, m in zip(rng.integers(1, 60, 500), rng.integers(0, 40, 500), strict=True)} | {(1, f"m{m:02d}") for m in range(38)})
+    pairs = spark.createDataFrame([(u, m, 8 if (u + len(m) + int(m[1:])) % 3 else 2, 1) for u, m in full], "user_id long, movie_id string, rating int, watch_count long")
+    movies = spark.createDataFrame([(f"m{n:02d}", "t") for n in range(42)], "movie_id string, title string")
+    fees = spark.createDataFrame([(f"m{n:02d}", float(n % 7), "known" if n % 5 else "missing") for n in range(42)], "movie_id string, fee double, fee_status string")
+    monkeypatch.setattr(krylov, "CHUNK", 50)
+    monkeypatch.setattr(krylov, "BLOCK_NUMBERS", 300)
+    strangers = spark.createDataFrame([(77, "m03", True), (77, "m03", True), (78, "zz", True), (79, "m05", False)], "user_id long, movie_id string, liked boolean")
+
+    def found():
+        model = ease.fit(pairs, movies, 5.0)
+        penalties = ease.licence_penalties(model.movies, fees, 0.02)
+        rows = lambda df: sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in df.collect())
+        return (rows(ease.recommend(model, k=5, penalties=penalties)), rows(ease.recommend_all(model, pairs.select("user_id"), 50)),
+                rows(ease.recommend_all(model, strangers, 3, histories=strangers)), rows(ease.weight_summary(model)),
+                rows(ease.policy_replay(model, fees, 0.02, k=4)), rows(ease.weights(model)))
+
+    stored = found()
+    monkeypatch.setattr(ease, "STORED_BYTES", 0)
+    names, write = [], ease.written
+    monkeypatch.setattr(ease, "written", lambda df, name, *more: names.append(name) or write(df, name, *more))
+    assert found() == stored and "weights" not in names
+    assert len(stored[0]) > 200
+
+
+def test_slates_cut_again_and_again_keep_ties(monkeypatch):
+    """Candidates of many panels, cut whenever they are twice what is kept, against a full sort."""
+    rng = np.random.default_rng(3)
+    n, width, k, users = 60, 4, 3, 30
+    weights = rng.integers(-2, 3, (n, n)).astype(np.float32)
+    popularity, penalty = rng.integers(0, 3, n) / 4, np.stack([np.zeros(n), rng.integers(0, 3, n) * 0.5])
+    liked = rng.random((users, n)) < 0.2
+    slates = ease._Slates(n, width, k, 2)
+    row = lambda **values: type("Row", (), values)()
+    slates.given(row(kind=ease.PRICES, items=range(n), numbers=[[popularity[i], *penalty[:, i]] for i in range(n)]))
+    owner, idx = np.nonzero(liked)
+    slates.given(row(kind=ease.PEOPLE, owners=owner * 7, items=idx, flags=np.ones(len(idx), bool)))
+    monkeypatch.setattr(ease, "max", lambda *_: 10, raising=False)
+    for panel in range(n // width):
+        list(slates.panel(panel, 0, weights[:, panel * width:(panel + 1) * width], 0.0))
+    got = {(r.policy, r.user_id // 7, r.idx): r.score for part in slates.ended() for r in part.itertuples()}
+    want = {}
+    for p in range(2):
+        for u in range(users):
+            score = weights[liked[u]].sum(0) - penalty[p]
+            order = [j for j in np.lexsort((np.arange(n), -popularity, -score)) if not liked[u, j]][:k]
+            want |= {(p, u, j): score[j] for j in order}
+    assert got == want
