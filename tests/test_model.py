@@ -245,3 +245,47 @@ def test_slates_cut_again_and_again_keep_ties(monkeypatch):
             order = [j for j in np.lexsort((np.arange(n), -popularity, -score)) if not liked[u, j]][:k]
             want |= {(p, u, j): score[j] for j in order}
     assert got == want
+
+
+def test_small_gram_matrix_is_counted_not_solved_by_columns(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [(u if u else None, f"m{m}", 10 if rng.random() < 0.6 else 3, 1) for u in range(90) for m in range(6)]
+    table = spark.createDataFrame(pairs, "user_id long, movie_id string, rating int, watch_count long").repartition(3)
+    movies = spark.createDataFrame([(f"m{m}", "t") for m in range(6)], "movie_id string, title string")
+    monkeypatch.setattr(ease.krylov, "weight_panels", lambda *_: (_ for _ in ()).throw(AssertionError("all likes sent to a task")))
+    liked = np.array([p[2] == 10 for p in pairs]).reshape(90, 6).astype(float)
+    for model in ease.solve(ease.prepare(table, movies, 10), [5.0, 50.0]):
+        inverse = np.linalg.inv(liked.T @ liked + model.regularization * np.eye(6))
+        want = -inverse / np.diagonal(inverse)
+        found = {(r.src_movie, r.dst_movie): r.weight for r in ease.weights(model).collect()}
+        assert len(found) == 30 and all(abs(w - want[int(s[1]), int(d[1])]) < 1e-5 for (s, d), w in found.items())
+        assert model.panels.where("residual < 1e-9").count() == model.panels.count()
+
+
+def test_cooccurrence_in_one_tile_over_many_batches(spark):
+    rows = [(None if o == 7 else o << 55, i) for o in range(60) for i in range(20) if (o * i + o) % 3]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = {(r.i, r.j): r.n for r in blocks.cooccurrence(spark.createDataFrame(rows, "owner long, idx int"), 20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for o, i in rows:
+        by.setdefault(o, []).append(i)
+    want = {}
+    for items in by.values():
+        for i in items:
+            for j in items:
+                if i <= j:
+                    want[i, j] = want.get((i, j), 0) + 1
+    assert found == want
+
+
+def test_evaluation_prepares_each_training_once(spark, monkeypatch):
+    pairs = [(u, f"m{m}", 10 if (u * m + u) % 3 else 9, 1, ("training", "validation", "test")[(u + m) % 3]) for u in range(20) for m in range(5)]
+    parts = spark.createDataFrame(pairs, "user_id long, movie_id string, rating int, watch_count long, part string")
+    movies = spark.createDataFrame([(f"m{m}", "t") for m in range(5)], "movie_id string, title string")
+    calls, prepare = [], ease.prepare
+    monkeypatch.setattr(ease, "prepare", lambda *given: calls.append(given[2]) or prepare(*given))
+    assert metrics.offline_evaluation(parts, movies, (2.0, 20.0), (9, 10), 3, 10, (5.0, 10)).count() == 9
+    assert sorted(calls) in ([9, 10, 10], [9, 9, 10, 10])
