@@ -48,9 +48,13 @@ def cooccurrence(members: DataFrame, n: int, tile: int = TILE) -> DataFrame:
 
 
 def _in_one_tile(members: DataFrame, n: int) -> DataFrame:
-    """The counts of `cooccurrence` for one tile: every task adds up whole owners, at most `n` items each, and only the sums are shuffled."""
-    known = members.select(F.col("owner").isNull().alias("none"), F.coalesce("owner", F.lit(0).cast("bigint")).alias("owner"), "idx")
-    spread = known.repartition(tasks(members.sparkSession), "owner", "none").sortWithinPartitions("none", "owner")
+    """The counts of `cooccurrence` for one tile: every task adds up whole owners, at most `n` items each, and only the sums are shuffled.
+
+    Rows without an owner are owners of their own.
+    """
+    none = F.col("owner").isNull()
+    known = members.select(none.alias("none"), F.coalesce("owner", F.lit(0).cast("bigint")).alias("owner"), "idx", F.when(none, F.col("idx")).alias("apart"))
+    spread = known.repartition(tasks(members.sparkSession), "owner", "apart").sortWithinPartitions("owner").drop("apart")
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((n, n), np.int64)
@@ -67,18 +71,13 @@ def _in_one_tile(members: DataFrame, n: int) -> DataFrame:
                 apart += 1
 
         owner, items = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        last = False
         for batch in batches:
-            none = batch["none"].to_numpy()
-            for flag in np.unique(none):
-                if flag != last:
-                    add(owner, items)
-                    owner, items, last = owner[:0], items[:0], flag
-                owner = np.concatenate([owner, batch["owner"].to_numpy()[none == flag]])
-                items = np.concatenate([items, batch["idx"].to_numpy()[none == flag]])
-                done = np.searchsorted(owner, owner[-1])
-                add(owner[:done], items[:done])
-                owner, items = owner[done:], items[done:]
+            alone, idx = batch["none"].to_numpy(bool), batch["idx"].to_numpy()
+            np.add.at(sums, (idx[alone], idx[alone]), 1)
+            owner, items = np.concatenate([owner, batch["owner"].to_numpy()[~alone]]), np.concatenate([items, idx[~alone]])
+            done = np.searchsorted(owner, owner[-1]) if len(owner) else 0
+            add(owner[:done], items[:done])
+            owner, items = owner[done:], items[done:]
         add(owner, items)
         i, j = np.nonzero(sums)
         yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "n": sums[i, j]})

@@ -113,7 +113,8 @@ def solve(training: Training, regularizations: Sequence[float], likes_limit: int
         _check(regularization, training.min_rating)
     n, width = training.size, krylov.columns_of_a_block(training.size)
     if n <= tile and n * n < training.likes:
-        counts = settle(blocks.cooccurrence(training.members, n, tile))
+        one = F.coalesce("owner", F.lit(-(1 << 63)).cast("bigint")).alias("owner")  # pairs without a user count as one user's, as in `krylov`
+        counts = settle(blocks.cooccurrence(training.members.select(one, "idx"), n, tile))
         solved = written(_tile_panels(counts, n, regularizations, width), "weights")
         panels = [solved.where(F.col("place") == i).drop("place") for i in range(len(regularizations))]
     elif training.likes <= likes_limit and 4 * n * n * len(regularizations) > STORED_BYTES:

@@ -266,12 +266,13 @@ def test_cooccurrence_in_one_tile_over_many_batches(spark):
     rows = [(None if o == 7 else o << 55, i) for o in range(60) for i in range(20) if (o * i + o) % 3]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        found = {(r.i, r.j): r.n for r in blocks.cooccurrence(spark.createDataFrame(rows, "owner long, idx int"), 20).collect()}
+        members = spark.createDataFrame(rows, "owner long, idx int")
+        found = {(r.i, r.j): r.n for r in blocks.cooccurrence(members, 20).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     by = {}
     for o, i in rows:
-        by.setdefault(o, []).append(i)
+        by.setdefault((o, i if o is None else 0), []).append(i)
     want = {}
     for items in by.values():
         for i in items:
