@@ -1,7 +1,8 @@
 """Exact token ids of whole texts through the tokenizers library, each distinct word encoded once per process.
 
 A space or line break between two plain signs always ends a pre-token, so what stands on either side encodes alone to
-the same ids. Such units are looked up in a bounded table; what is new goes to the library. Texts in which white space
+the same ids. Arrow cuts a slice of texts into such units, numbers its distinct ones and puts their ids in place, so
+Python sees each unit once per slice. Units are looked up in a bounded table; what is new goes to the library. Texts in which white space
 is not of that simple kind are cut only where it is, and texts that hold a special string are encoded in one piece.
 """
 
@@ -12,13 +13,17 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _PLAIN = "!-~À-ɏ"
 _CUT = re.compile(f"(?<=[{_PLAIN}])(?: |(\n))(?=[{_PLAIN}])")
 _UNIT = re.compile(f"\n\n|\n?[{_PLAIN}](?:.*[{_PLAIN}])?", re.S)
-_SIMPLE = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PROBES = ("the", "Word", "élève", "ÜBER", "straße", "Internationalisation", "ñandú")
 MOST_UNITS = 500_000
+MOST_TAILS = 10_000
 LONGEST_UNIT = 64
 
 
@@ -42,7 +47,7 @@ class Encoder:
         """How a plain word reaches the model: as bytes with a sign for the space, or in lower case; None if neither fits."""
         forms = (lambda word, spaced: ("Ġ" if spaced else "") + _letters(word), lambda word, spaced: _letters(word.lower()))
         for form in forms:
-            pairs = [(" " * spaced + w + end, form(w, spaced), end) for w in _PROBES for spaced in (0, 1) for end in ("", ".", "?!)")]
+            pairs = [(" " * spaced + w + end, form(w, spaced), end) for w in _PROBES for spaced in (0, 1) for end in ("", *_ENDS, "?!)")]
             whole = self._ids([text for text, _, _ in pairs])
             if whole == [self._word(name) + (self._ids([end])[0] if end else b"") for _, name, end in pairs]:
                 return form
@@ -55,31 +60,47 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, names: list[str]) -> dict[str, bytes]:
-        """Ids of units: '\\n\\n' is a line break, '\\nword' begins a line, any other follows a space.
+    def _plain(self, unit: str) -> str | None:
+        """The unit without the punctuation at its end if the rest is one plain word (after a line break, with it); else None."""
+        core = unit.rstrip(_ENDS)
+        word = core[1:] if core[:1] == "\n" else core
+        return core if self.form and (word.isalpha() if word.isascii() else _WORD.fullmatch(word)) else None
 
-        Plain words go straight to the library's model; the rest goes through the whole library in long strings, held
-        apart by a special string that none of them contains.
+    def _learn(self, names: dict[str, str | None]) -> dict[str, bytes]:
+        """Ids of units, given with what `_plain` says of them: '\\n\\n' is a line break, '\\nword' begins a line, any other follows a space.
+
+        Plain words go straight to the library's model, with or without punctuation once; the rest goes through the
+        whole library in long strings, held apart by a special string that none of them contains.
         """
         made, rest = {}, []
-        tokenize, tails, form = self.model.tokenize, self.tails, self.form
-        for u in names:
-            plain = _SIMPLE.fullmatch(u) if form else None
-            if plain is None:
+        tokenize, tails, form, known = self.model.tokenize, self.tails, self.form, self.units.get
+        for u, core in names.items():
+            if core is None:
                 rest.append(u)
                 continue
-            lead, word, tail = plain.groups()
-            if tail not in tails:
-                tails[tail] = self._ids([tail])[0]
-            made[u] = array("I", [t.id for t in tokenize(form(word, not lead))]).tobytes() + tails[tail]
-        made.update(zip(rest, self._through(rest), strict=True))
-        self.passed += len(made)
+            ids = made.get(core)
+            if ids is None:
+                ids = known(core)
+            if ids is None:
+                name = form(core[1:], False) if core[0] == "\n" else form(core, True)
+                made[core] = ids = array("I", [t.id for t in tokenize(name)]).tobytes()
+            if len(u) > len(core):
+                tail = u[len(core):]
+                end = tails.get(tail)
+                if end is None:
+                    if len(tails) >= MOST_TAILS:
+                        tails.clear()
+                    tails[tail] = end = self._ids([tail])[0]
+                made[u] = ids + end
+        through = dict(zip(rest, self._through(rest), strict=True))
+        self.passed += len(names)
         if self.passed > 5 * MOST_UNITS:
             self.units.clear()
             self.passed = 0
         if len(self.units) < MOST_UNITS:
-            self.units.update((u, b) for u, b in made.items() if len(u) <= LONGEST_UNIT and _UNIT.fullmatch(u))
-        return made
+            self.units.update((u, b) for u, b in made.items() if len(u) <= LONGEST_UNIT)
+            self.units.update((u, b) for u, b in through.items() if len(u) <= LONGEST_UNIT and _UNIT.fullmatch(u))
+        return made | through
 
     def _through(self, names: list[str]) -> list[bytes]:
         texts = [u[1:] if u[0] == "\n" else " " + u for u in names]
@@ -98,36 +119,64 @@ class Encoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, whole, open_rows, new = [b""] * len(texts), [], [], {}
-        get = self.units.get
+        out, whole, cut = [b""] * len(texts), [], []
         for row, text in enumerate(texts):
-            if not text:
-                continue
             if any(s in text for s in self.special):
                 whole.append(row)
-                continue
-            units = ("\n" + text.replace("\n", " \n\n \n")).split(" ")
-            parts = list(map(get, units))
-            if None in parts:
-                gaps = [i for i, part in enumerate(parts) if part is None]
-                if not all(_UNIT.fullmatch(units[i]) for i in gaps):
-                    units = _careful(text)
-                    parts = list(map(get, units))
-                    gaps = [i for i, part in enumerate(parts) if part is None]
-                names = [units[i] for i in gaps]
-                new.update(dict.fromkeys(names))
-                open_rows.append((row, parts, gaps, names))
-            else:
-                out[row] = b"".join(parts)
-        made = self._learn(list(new)) if new else {}
-        for row, parts, gaps, names in open_rows:
-            for i, name in zip(gaps, names, strict=True):
-                parts[i] = made[name]
-            out[row] = b"".join(parts)
+            elif text:
+                cut.append(row)
+        if cut:
+            self._cut(texts, cut, out)
         for row, ids in zip(whole, self._ids([texts[row] for row in whole]), strict=True) if whole else ():
             out[row] = ids
         return out
 
+    def _cut(self, texts: list[str], rows: list[int], out: list[bytes]):
+        """Put the ids of the texts at `rows`, which hold no special string and are not empty, into `out`."""
+        get, plain = self.units.get, self._plain
+        spread = pa.array(["\n" + texts[row].replace("\n", " \n\n \n") for row in rows], pa.large_string())
+        split = pc.split_pattern(spread, " ")
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
+        parts = list(map(get, names))
+        gaps, odd = {}, []
+        for i, part in enumerate(parts):
+            if part is None:
+                core = plain(names[i])
+                if core is None and not _UNIT.fullmatch(names[i]):
+                    odd.append(i)
+                    parts[i] = b""
+                else:
+                    gaps[i] = core
+        open_rows, new = [], {}
+        if odd:
+            strange = np.zeros(len(names), bool)
+            strange[odd] = True
+            aside = np.zeros(len(rows), bool)
+            aside[np.searchsorted(bounds, np.flatnonzero(strange[places]), "right") - 1] = True
+            used = np.zeros(len(names), bool)
+            used[places[np.repeat(~aside, np.diff(bounds))]] = True
+            for i in [i for i in gaps if not used[i]]:
+                del gaps[i]
+                parts[i] = b""
+            for at in np.flatnonzero(aside).tolist():
+                units = _careful(texts[rows[at]])
+                found = list(map(get, units))
+                open_rows.append((rows[at], units, found))
+                new.update((u, plain(u)) for u, part in zip(units, found, strict=True) if part is None and u not in new)
+        new.update((names[i], core) for i, core in gaps.items())
+        made = self._learn(new) if new else {}
+        for i in gaps:
+            parts[i] = made[names[i]]
+        _, ends, raw = pa.array(parts, pa.large_binary()).take(coded.indices).buffers()
+        ends = np.frombuffer(ends, np.int64, len(places) + 1)[bounds].tolist()
+        raw = raw.to_pybytes() if raw is not None else b""
+        for row, start, end in zip(rows, ends, ends[1:]):
+            out[row] = raw[start:end]
+        for row, units, found in open_rows:
+            out[row] = b"".join([made[u] if part is None else part for u, part in zip(units, found, strict=True)])
+
 
 def _byte_signs() -> list[str]:
     """A visible sign for each byte: itself where it is one, else the next free code point from 256 on."""
@@ -136,11 +185,11 @@ def _byte_signs() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-_SIGNS = _byte_signs()
+_SIGNS = "".join(_byte_signs())
 
 
 def _letters(word: str) -> str:
-    return word if word.isascii() else "".join([_SIGNS[b] for b in word.encode()])
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
 
 
 def _careful(text: str) -> list[str]:

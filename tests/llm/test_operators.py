@@ -77,6 +77,37 @@ def test_encoder_against_library():
         assert found.encode(texts) == want and found.encode(texts) == want
 
 
+def test_encoder_asks_the_model_once_for_a_word_with_any_punctuation():
+    words, ends = ["alpha", "Beta", "gämma", "öl"], ["", ".", ",", "***", "\"", ")?!", "%&#", "~"]
+    texts = [" ".join(w + e for e in ends for w in words), "alpha;\nBeta: gämma| öl}"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        found, asked = encoding.Encoder(public_tokenizers.path(name)), []
+        model, through = found.model, found._through
+
+        class Counted:
+            def tokenize(self, word):
+                asked.append(word)
+                return model.tokenize(word)
+        found.model, found._through = Counted(), lambda names: asked.extend(n for n in names if n != "\n\n") or through(names)
+        want = [np.array(e.ids, "<u4").tobytes() for e in found.library.encode_batch(texts, add_special_tokens=False)]
+        assert found.encode(texts[:1]) + found.encode(texts[1:]) == want
+        assert len(asked) == 6  # four words, two of them also at the beginning of a line
+
+
+def test_encoder_with_texts_of_all_kinds_in_one_slice(monkeypatch):
+    monkeypatch.setattr(encoding, "MOST_UNITS", 20)
+    monkeypatch.setattr(encoding, "MOST_TAILS", 3)
+    rng = random.Random(6)
+    atoms = ["word", "Straße", "don't", "x1", "a-b", "привет", "中文", "e\u0301", "\u00a0", "\t", "\r\n", "  ", "\n\n", "\n \n", "<|endoftext|>", "A" * 70, "C'", "\x00", "ª"]
+    texts = ["".join(rng.choice(atoms) + rng.choice(["", " ", " ", "\n", *encoding._ENDS]) for _ in range(rng.randrange(20))) for _ in range(300)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        found = encoding.Encoder(public_tokenizers.path(name))
+        want = [np.array(e.ids, "<u4").tobytes() for e in found.library.encode_batch(texts, add_special_tokens=False)]
+        assert found.encode(texts) == want
+        assert [ids for at in range(0, 300, 7) for ids in found.encode(texts[at:at + 7])] == want
+        assert found.encode([]) == [] and found.encode(["", ""]) == [b"", b""]
+
+
 def test_language(spark, docs, nothing):
     alphabet = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
     rng = random.Random(4)
