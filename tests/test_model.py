@@ -290,3 +290,21 @@ def test_evaluation_prepares_each_training_once(spark, monkeypatch):
     monkeypatch.setattr(ease, "prepare", lambda *given: calls.append(given[2]) or prepare(*given))
     assert metrics.offline_evaluation(parts, movies, (2.0, 20.0), (9, 10), 3, 10, (5.0, 10)).count() == 9
     assert sorted(calls) in ([9, 10, 10], [9, 9, 10, 10])
+
+
+def test_rows_add_up_in_stretches(monkeypatch):
+    """Stretches of the block, long lists and owners without any index, whatever the order of the lists, against a dense product."""
+    monkeypatch.setattr(krylov, "STRETCH", 16)
+    monkeypatch.setattr(krylov, "LONGEST", 5)
+    rng = np.random.default_rng(7)
+    x = rng.random((25, 150)) < 0.4
+    x[3], x[8] = False, True
+    owner, index = np.nonzero(x)
+    order = rng.permutation(len(owner))
+    rows = krylov.Rows(owner[order], index[order], 25)
+    assert len(rows.parts) == 10 and any(len(rest) for _, _, rest, _ in rows.parts)
+    for columns in (3, 300):
+        block = rng.integers(-9, 9, (150, columns)).astype(np.float32)
+        assert (rows.sums(block) == x @ block).all() and rows.sums(block).dtype == np.float32
+        assert (rows.added(block) == x @ block).all() and (rows.sums(block[:, 1:]) == x @ block[:, 1:]).all()
+    assert not krylov.Rows(np.zeros(0, int), np.zeros(0, int), 4).sums(np.ones((2, 3))).any()
