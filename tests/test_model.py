@@ -308,3 +308,22 @@ def test_rows_add_up_in_stretches(monkeypatch):
         assert (rows.sums(block) == x @ block).all() and rows.sums(block).dtype == np.float32
         assert (rows.added(block) == x @ block).all() and (rows.sums(block[:, 1:]) == x @ block[:, 1:]).all()
     assert not krylov.Rows(np.zeros(0, int), np.zeros(0, int), 4).sums(np.ones((2, 3))).any()
+
+
+def test_residuals_of_the_dense_inverse_are_computed(spark, monkeypatch):
+    """Panels made by tiles say what their columns leave, as those solved on their own do, and a wrong inverse shows."""
+    rng = np.random.default_rng(9)
+    rows = sorted({(int(u), f"m{int(m):02d}") for u, m in zip(rng.integers(1, 30, 400), rng.integers(0, 37, 400), strict=True)})
+    pairs = spark.createDataFrame([(u, m, None, 1) for u, m in rows], "user_id long, movie_id string, rating int, watch_count long")
+    movies = spark.createDataFrame([(f"m{n:02d}", "t") for n in range(37)], "movie_id string, title string")
+    few, many = ({r.panel: r.residual for r in ease.fit(pairs, movies, 5.0, likes_limit=limit, tile=9).panels.collect()} for limit in (10_000, 0))
+    assert sorted(few) == sorted(many) and all(0 < r < 1e-8 for r in many.values())
+    invert = blocks.invert
+
+    def wrong(tiles, n, tile):
+        return blocks._map_tiles(invert(tiles, n, tile), lambda r: blocks._matrix(r.data, min(tile, n - r.tj * tile)) * (1.0 + 0.001 * (r.tj == 4)))
+
+    monkeypatch.setattr(blocks, "invert", wrong)
+    monkeypatch.setattr(ease, "WEIGHT_BYTES", 1)
+    for panel, residual in ((r.panel, r.residual) for r in ease.fit(pairs, movies, 5.0, likes_limit=0, tile=9).panels.collect()):
+        assert abs(residual - 0.001) < 1e-9 if panel == 2 else residual < 1e-8
