@@ -2,6 +2,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,61 @@ def test_residuals_of_the_dense_inverse_are_computed(spark, monkeypatch):
     monkeypatch.setattr(ease, "WEIGHT_BYTES", 1)
     for panel, residual in ((r.panel, r.residual) for r in ease.fit(pairs, movies, 5.0, likes_limit=0, tile=9).panels.collect()):
         assert abs(residual - 0.001) < 1e-9 if panel == 2 else residual < 1e-8
+
+
+def test_pairs_are_counted_by_ranges_of_items(spark, monkeypatch):
+    """No pair is shuffled: ranges of items, pairs cut into pieces, rows that come twice and both orders, against plain counting."""
+    monkeypatch.setattr(blocks, "RANGE_ROWS", 60)
+    monkeypatch.setattr(blocks, "PAIRS", 50)
+    rng = np.random.default_rng(11)
+    rows = sorted({(int(o), int(m)) for o, m in zip(rng.integers(0, 60, 250), rng.integers(0, 45, 250))}) + [(7, 3), (7, 3), (7, 44), (None, 5), (None, 6)]
+    members = spark.createDataFrame(rows, "owner long, idx int").repartition(3)
+    want = {}
+    for o, i in rows:
+        for p, j in rows:
+            if o is not None and o == p:
+                want[i, j] = want.get((i, j), 0) + 1
+    monkeypatch.setattr(blocks, "_by_tiles", lambda *_: 1 / 0)
+    found = blocks.cooccurrence(members, 45, 2)
+    assert {(r.i, r.j): r.n for r in found.collect()} == {p: n for p, n in want.items() if p[0] <= p[1]}
+    assert min(df.rdd.getNumPartitions() for df in (found, found.where('i <> j and n > 1'))) > 8 and found.count() == len({p for p in want if p[0] <= p[1]})
+    both = blocks.cooccurrence(members, 45, 2, both=True)
+    assert {(r.i, r.j): r.n for r in both.collect()} == want and both.count() == len(want)
+    monkeypatch.undo()
+    for tile in (1, 5, 64):  # by tiles and in one tile
+        known = members.where("owner is not null")
+        again = blocks.cooccurrence(known.distinct(), 45, tile, both=True)
+        upper = {(r.i, r.j): r.n for r in blocks.cooccurrence(known.distinct(), 45, tile).collect()}
+        assert {(r.i, r.j): r.n for r in again.collect()} == upper | {(j, i): n for (i, j), n in upper.items()}
+
+
+def test_best_scores_need_no_table_of_users_by_movies(spark, monkeypatch):
+    """Ties, negative weights, weights that cancel out, seen movies and movies without a place, against the plain joins."""
+    monkeypatch.setattr(blocks, "RANGE_ROWS", 40)
+    monkeypatch.setattr(blocks, "PAIRS", 64)
+    rng = np.random.default_rng(12)
+    liked = spark.createDataFrame([(int(u) if u else None, int(m)) for u, m in zip(rng.integers(0, 25, 120), rng.integers(0, 30, 120))] + [(3, 70)], "user_id long, movie_id int")
+    seen = liked.unionByName(spark.createDataFrame([(int(u), int(m)) for u, m in zip(rng.integers(0, 25, 60), rng.integers(0, 30, 60))], "user_id long, movie_id int"))
+    weights = spark.createDataFrame([(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, 30, 300), rng.integers(0, 30, 300), rng.integers(-2, 3, 300))],
+                                    "src_movie int, dst_movie int, weight long")
+    popularity = spark.createDataFrame([(m, (m * 7 % 5) / 4) for m in range(28)], "movie_id int, popularity double")
+    order = sorted((-p, m) for m, p in ((m, (m * 7 % 5) / 4) for m in range(28)) if p > 0)
+    places = spark.createDataFrame([(m, n) for n, (_, m) in enumerate(order)], "movie_id int, place long")
+    slates = lambda scores: sorted((r.user_id or 0, r["rank"], r.movie_id, r.score) for r in ease.top_k(
+        interactions.exclude_seen(scores, seen).join(popularity, "movie_id"), 3).collect())
+    best = ease.score_users(liked, weights, (3, seen, places))
+    plain = slates(ease.score_users(liked, weights))
+    assert slates(best) == plain and len(plain) > 60
+    assert best.join(popularity, "movie_id", "left_semi").rdd.getNumPartitions() > 1
+    assert best.count() < ease.score_users(liked, weights).count()
+    users = [pa.array([5]), pa.array([[1]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int32()))]
+    batch = lambda kind, src, dst, weight, place, user, own, hidden: pa.RecordBatch.from_arrays(
+        [pa.array([kind], pa.int32()), pa.array([src], pa.int32()), pa.array([dst], pa.int32()), pa.array([weight], pa.float64()), pa.array([place], pa.int64()), user, own, hidden],
+        names=["kind", "src", "dst", "weight", "place", "user_id", "liked", "seen"])
+    none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32()))]
+    parts = [batch(ease.HELD, 1, 2, 2.5, None, *none), batch(ease.HELD, None, 2, None, 0, *none), batch(ease.ASKING, None, None, None, None, *users)]
+    for order in ((0, 1, 2), (2, 0, 1), (0, 2, 1)):
+        rows = [r for out in ease._best_of_range(iter([parts[i] for i in order]), 0, 4, 4, 3) for r in out.to_pylist()]
+        assert rows == [{"user_id": 5, "movie_id": 2, "score": 2.5}]
+    users[1] = pa.array([[3]], pa.list_(pa.int32()))  # nothing to add up
+    assert not sum(len(out) for out in ease._best_of_range(iter([*parts[:2], batch(ease.ASKING, None, None, None, None, *users)]), 0, 4, 4, 3))
