@@ -386,3 +386,14 @@ def test_best_scores_need_no_table_of_users_by_movies(spark, monkeypatch):
         assert rows == [{"user_id": 5, "movie_id": 2, "score": 2.5}]
     users[1] = pa.array([[3]], pa.list_(pa.int32()))  # nothing to add up
     assert not sum(len(out) for out in ease._best_of_range(iter([*parts[:2], batch(ease.ASKING, None, None, None, None, *users)]), 0, 4, 4, 3))
+
+
+def test_evaluations_are_not_run_together(spark):
+    """The rows of the protocol are there when it returns: no joins of several evaluations in one plan."""
+    pairs = [(u, f"m{m}", 10 if (u * m + u) % 3 else 9, 1, ("training", "validation", "test")[(u + m) % 3]) for u in range(20) for m in range(5)]
+    parts = spark.createDataFrame(pairs, "user_id long, movie_id string, rating int, watch_count long, part string")
+    movies = spark.createDataFrame([(f"m{m}", "t") for m in range(5)], "movie_id string, title string")
+    found = metrics.offline_evaluation(parts, movies, (2.0, 20.0), (9, 10), 3, 10, (5.0, 10))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Relation" not in plan
+    assert sorted((r.stage, r.model) for r in found.collect()) == sorted([("validation", "grid")] * 4 + [(s, m) for s in ("validation", "test") for m in ("baseline", "popularity")] + [("test", "selected")])
